@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbank.llm import byte_bpe, chat, html_text, quality_rules, url_filter
-from lumenbank.llm.common import table
+from lumenbank.llm import byte_bpe, chat, html_text, language_id, quality_rules, simhash, url_filter
+from lumenbank.llm.common import table, training_half
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(training_half(F.col("doc_id"))))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (~training_half(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("signature")).alias("fingerprint"), "component_id")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -39,7 +51,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_simhash": op6_simhash,
     "op8_html_text": op8_html_text,
     "op10_url_filter": op10_url_filter,
 }
