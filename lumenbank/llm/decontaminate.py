@@ -35,10 +35,6 @@ def shingles(w: Column, n: int = SHINGLE) -> Column:
     return F.when(F.size(w) >= n, several).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_hash(words_: list[Column]) -> Column:
-    return F.xxhash64(*words_)
-
-
 def shingle_hashes(hashed: Column, n: int = SHINGLE) -> Column:
     """A hash of each n words from the words' hashes; of all of them if there are fewer."""
     several = F.transform(F.slice(hashed, 1, F.greatest(F.size(hashed) - n + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(hashed, i + k) for k in range(1, n)]))
@@ -62,8 +58,6 @@ def item_sketches(items: DataFrame, share: float = SHARE) -> DataFrame:
 def candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Distinct (row, item_id) where the document has a shingle of the item's sketch."""
     limits = {r.part: r.limit for r in sketches.groupBy("part").agg(F.max("hash").alias("limit")).collect()}  # a row for each partition
-    if not limits:
-        return docs.select("row").join(sketches.select("item_id"), how="left_semi", on=F.lit(False)).select("row", F.lit(None).cast(sketches.schema["item_id"].dataType).alias("item_id"))
     most = max(limits.values())
     keys = small_side(sketches.select("hash", "item_id"), BROADCAST_ROWS)
     tried = F.array_distinct(F.filter(shingle_hashes(F.col("hashed")), lambda h: h <= most))

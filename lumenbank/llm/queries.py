@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbank.llm import byte_bpe, chat, html_text, language_id, quality_rules, simhash, url_filter
+from lumenbank.llm import byte_bpe, chat, decontaminate, html_text, language_id, quality_rules, simhash, url_filter
 from lumenbank.llm.common import table, training_half
 
 
@@ -43,6 +43,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.UrlModel.fit(url_filter.labelled_urls(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), model)
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
     "op8_html_text": op8_html_text,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -77,4 +82,19 @@ ORACLES: dict[str, str] = {
                sum(CASE WHEN was IS NULL AND role IN ('system', 'user') OR was IN ('system', 'assistant') AND role = 'user' OR was = 'user' AND role = 'assistant' THEN 0 ELSE 1 END)::BIGINT AS invalid_turns
         FROM s GROUP BY conv_id
     """,
+    "op9_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id AS id, row_number() OVER () AS row, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+        ), i AS (
+            SELECT item_id AS id, row_number() OVER () AS row, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+        ), ds AS (
+            SELECT DISTINCT id, row, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+        ), si AS (
+            SELECT DISTINCT id, row, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i
+        ), n AS (SELECT row, count(*) AS n_item FROM si GROUP BY row)
+        SELECT ds.id AS doc_id, si.id AS item_id, n.n_item AS n_item, count(*) AS n_shared, count(*)::DOUBLE / n.n_item AS containment
+        FROM ds JOIN si USING (s) JOIN n ON n.row = si.row
+        GROUP BY ds.id, ds.row, si.id, si.row, n.n_item
+        HAVING count(*) >= ceil(0.8 * n.n_item)
+    """,
 }
