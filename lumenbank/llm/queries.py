@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbank.llm import byte_bpe, chat, decontaminate, html_text, language_id, quality_rules, simhash, url_filter
+from lumenbank.llm import byte_bpe, chat, decontaminate, html_text, language_id, quality_model, quality_rules, simhash, toxicity, url_filter
 from lumenbank.llm.common import table, training_half
 
 
@@ -33,11 +33,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = training_half(F.col("doc_id"))
+    found = toxicity.score(docs, toxicity.fit(docs.filter(learn), labels.filter(learn)))
+    return found.select("doc_id", (~learn).alias("held_out"), "score", "predicted", "top_margin")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("signature")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = training_half(F.col("doc_id"))
+    found = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(learn))
+    return found.select("doc_id", (~learn).alias("held_out"), "document_score", "host_good", "path_good", "score", "kept")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -57,7 +70,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_quality_model": op7_quality_model,
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
