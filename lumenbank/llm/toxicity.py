@@ -17,7 +17,9 @@ from lumenbank.llm.common import saved
 #: Letters of a subsequence lie within SPAN characters; each one costs a factor DECAY.
 SPAN, DECAY, DIMENSIONS = 6, 0.6, 1 << 16
 #: Labelled documents of each class that a fit takes at most, and words of each kind.
-FIT_DOCS, LANDMARKS, CLEAN_WORDS = 5_000, 400, 40_000
+FIT_DOCS, LANDMARKS, CLEAN_WORDS = 4_000, 400, 40_000
+#: Share of the toxic documents that a telling word or stem needs in contexts, and how many stems are taken.
+SUPPORT, STEMS = 0.008, 2_000
 #: The margins of a document that its score looks at.
 TOP = 3
 #: Words that a worker remembers before it starts anew.
@@ -160,23 +162,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # 2 x FIT_DOCS ids at most
 
 
-def word_evidence(sample: DataFrame) -> DataFrame:
+def word_contexts(sample: DataFrame) -> DataFrame:
     """word, toxic and clean: in how many different contexts (words before it) each class has the word.
 
     Sentences that copies share are one context, so a copied text's rare words gain no weight.
     """
-    tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
-    pairs = F.transform(tokens, lambda w, i: F.struct(F.when(i > 0, F.get(tokens, i - 1)).otherwise("").alias("before"), w.alias("word")))
-    seen = sample.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.before", "p.word").distinct()
+    # A column of its own: inside the lambda it would be split again for every word.
+    tokens = sample.select("toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 1).alias("tokens"))
+    pairs = F.transform("tokens", lambda w, i: F.struct(F.when(i > 0, F.get("tokens", i - 1)).otherwise("").alias("before"), w.alias("word")))
+    seen = tokens.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.before", "p.word").distinct()
     return seen.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
 
 
+def with_stems(words: DataFrame) -> DataFrame:
+    """``words`` with a row for each beginning of four to six letters, and for the whole word (marked by $)."""
+    stems = F.array(F.concat("word", F.lit("$")), *[F.when(F.length("word") > n, F.left("word", F.lit(n))) for n in (4, 5, 6)])
+    return words.withColumn("stem", F.explode(F.array_compact(stems)))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Learns from labelled documents, of which a bounded sample is taken.
 
-    Words that toxic sentences have in many contexts and clean ones hardly
-    ever are the positive examples and landmarks, with landmarks from common
-    clean words beside them; clean words near the border are added in a second
+    Words and beginnings of words that toxic sentences have in many contexts
+    and clean ones hardly ever give the positive examples and landmarks, with
+    landmarks from common clean words beside them; clean words near the border are added in a second
     round. The score's curve is a logistic fit of the sample's top margins.
     """
     sample = saved(labelled_sample(docs, labels))
@@ -184,12 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     flat = ToxicModel(np.zeros(DIMENSIONS, np.float32), -1.0, np.array([0.0] * TOP + [-3.0]))
     if not sizes.get(1) or not sizes.get(0):
         return flat
-    evidence = saved(word_evidence(sample))
-    ratio = sizes[1] / sizes[0]
-    support = max(2.0, 0.002 * sizes[1])
-    marked = evidence.filter((F.col("toxic") >= support) & (F.col("toxic") >= 12 * ratio * (F.col("clean") + 0.1)))
-    insults = [r.word for r in marked.orderBy(F.desc("toxic"), "word").limit(4 * LANDMARKS).collect()]
-    clean = [r.word for r in evidence.filter("clean > 0").join(F.broadcast(marked.select("word").limit(100_000)), "word", "left_anti").orderBy(F.desc("clean"), "word").limit(CLEAN_WORDS).collect()]
+    words = saved(word_contexts(sample))
+    ratio, support = sizes[1] / sizes[0], max(4.0, SUPPORT * sizes[1])
+    stems = with_stems(words).groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    marked = saved(stems.filter((F.col("t") >= support) & (F.col("t") >= 12 * ratio * (F.col("c") + 0.1))).orderBy(F.desc("t"), "stem").limit(STEMS).select("stem"))
+    insulting = with_stems(words.filter("toxic > 0")).join(F.broadcast(marked), "stem", "left_semi").select("word", "toxic").distinct()
+    insults = [r.word for r in insulting.orderBy(F.desc("toxic"), "word").limit(4 * LANDMARKS).collect()]
+    bad = set(insults)
+    common = words.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(CLEAN_WORDS + 4 * LANDMARKS).collect()
+    clean = [r.word for r in common if r.word not in bad][:CLEAN_WORDS]
     if not insults or not clean:
         return flat
     marks = insults[:LANDMARKS] + clean[: LANDMARKS // 4]
