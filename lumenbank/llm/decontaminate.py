@@ -48,7 +48,9 @@ def hashed_words(w: Column) -> Column:
 
 def item_sketches(items: DataFrame, share: float = SHARE) -> DataFrame:
     """item_id, part (of its size), hash: the MinHash sketch of each item that has words."""
-    rows = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(hashed_words(words(F.col("text")))))).alias("hashes"))
+    # Arrays that a lambda reads are columns of their own, or each element would compute them again.
+    rows = items.select("item_id", hashed_words(words(F.col("text"))).alias("hashed"))
+    rows = rows.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("hashed")))).alias("hashes"))
     size = F.size("hashes")
     part = sum((F.when(size >= p, 1).otherwise(0) for p in PARTITIONS), F.lit(0))
     sketch = F.slice("hashes", 1, size - F.ceil(F.lit(share) * size).cast("int") + 1)
@@ -82,8 +84,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     pairs = saved(candidates(rows, sketches))
     # Texts of documents with a candidate, and their shingles, once each.
     some = small_side(pairs.select("row").distinct(), BROADCAST_ROWS)
-    held = rows.join(some, "row", "left_semi").select("row", "doc_id", F.array_distinct(shingles(words(F.col("text")))).alias("has"))
-    whole = items.select("item_id", F.array_distinct(shingles(words(F.col("text")))).alias("wants"))
+    held = rows.join(some, "row", "left_semi").select("row", "doc_id", words(F.col("text")).alias("w"))
+    held = held.select("row", "doc_id", F.array_distinct(shingles(F.col("w"))).alias("has"))
+    whole = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.array_distinct(shingles(F.col("w"))).alias("wants"))
     joined = held.join(small_side(pairs, BROADCAST_ROWS), "row").join(whole, "item_id")
     shared = F.size(F.array_intersect("has", "wants")).cast("long")
     out = joined.select("doc_id", "item_id", F.size("wants").cast("long").alias("n_item"), shared.alias("n_shared"))
