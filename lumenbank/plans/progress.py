@@ -187,10 +187,12 @@ def session_mix(spark, sf):
         SELECT point, area, pi, least(1.0, sum(tw * pow(0.9::DOUBLE, recency)) / 4) * (1.5 + sum(tw * pow(0.9::DOUBLE, recency) * correct::INT)) / (3 + sum(tw * pow(0.9::DOUBLE, recency))) AS share FROM pairs GROUP BY ALL
     ), sizes AS (SELECT cluster, area, count(*) AS pis, coalesce(any_value(weight), 1) AS weight FROM universe LEFT JOIN blueprint USING (area) GROUP BY ALL
     ), totals AS (SELECT cluster, sum(weight) AS all_weight FROM sizes GROUP BY ALL)
-    SELECT k.user_id, cluster, k.id, k.ts, round(sum(share / pis * weight / all_weight), 6) AS readiness
+    SELECT k.user_id, cluster, k.id, k.ts, round(sum(share / pis * weight / all_weight) + 1e-9, 6) AS readiness
     FROM shares JOIN known k ON k.id = point JOIN sizes USING (cluster) JOIN totals USING (cluster) WHERE shares.area = sizes.area GROUP BY ALL""")
 def trajectory(spark, sf):
-    return rounded(M.trajectory(attempts(spark, sf), universe(spark, sf), blueprint(spark)), "readiness")
+    points = M.trajectory(attempts(spark, sf), universe(spark, sf), blueprint(spark))
+    # Sums of few terms end on the digit that is rounded; a nudge settles which way in both engines.
+    return points.withColumn("readiness", F.round(F.col("readiness") + 1e-9, 6))
 
 
 @query("win05_day_best", f"""{LOG}, points AS (SELECT user_id, cluster, id, ts, elapsed_ms / 1000.0 AS readiness FROM attempts
