@@ -95,7 +95,7 @@ def json_coercion(spark, sf):
     return e.select("event_id", F.coalesce(parsed["k"], F.lit(-1)).alias("k"))
 
 
-@query("flt14_row_codec", "SELECT event_id, epoch_ms(ts) AS epoch_ms FROM events")
+@query("flt14_row_codec", "SELECT event_id, epoch_us(ts) // 1000 AS epoch_ms FROM events")
 def row_codec(spark, sf):
     return table(spark, sf, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("epoch_ms"))
 
