@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from lumenbank.llm.common import map_rows
 
 #: Code points of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 16_384, 1_024
+CHUNK, OVERLAP = 32_768, 1_024
 
 
 def load_encoding(path: str, pattern: str):
@@ -53,7 +53,7 @@ def encode_sides(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
 
     def whole():
         encoding = load_encoding(path, pattern)
-        return lambda row, doc, text: [(row, doc, 0, encoding.encode_ordinary(text))]
+        return lambda row, doc, text: [(row, doc, 0, encoding.encode_to_numpy(text, disallowed_special=()))]
 
     def cut():
         return lambda row, doc, text: ((row, doc, k, at + chunk >= len(text), text[at : at + chunk + overlap]) for k, at in enumerate(range(0, len(text), chunk)))
@@ -69,7 +69,7 @@ def encode_sides(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
 
     def span():
         encoding = load_encoding(path, pattern)
-        return lambda row, doc, part, text, begin, end: [(row, doc, part, encoding.encode_ordinary(text[begin : len(text) if end is None else chunk + end]))]
+        return lambda row, doc, part, text, begin, end: [(row, doc, part, encoding.encode_to_numpy(text[begin : len(text) if end is None else chunk + end], disallowed_special=()))]
 
     short = map_rows(rows.filter(size <= chunk), whole, out)
     chunks = map_rows(rows.filter(size > chunk), cut, f"row long, doc_id {kind}, part int, last boolean, text string")
@@ -123,18 +123,20 @@ def digest(parts: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         encoding, arrow = load_encoding(path, r"[\s\S]+"), to_arrow_schema(schema)
+        decimal = [str(i) for i in range(encoding.n_vocab)]
         now = doc = ids_hash = raw_hash = None
         n = 0
         for batch in batches:
             done = []
-            for at in range(batch.num_rows):
-                row, doc_id, ids = (c[at].as_py() for c in batch.columns)
+            rows, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, (row, doc_id) in enumerate(zip(rows, docs)):
+                ids = batch.column(2)[at].values.to_numpy().tolist()
                 if row != now:
                     if now is not None:
                         done.append((doc, n, ids_hash.hexdigest(), raw_hash.hexdigest()))
                     now, doc, n, ids_hash, raw_hash = row, doc_id, 0, hashlib.sha256(), hashlib.sha256()
                 if ids:
-                    ids_hash.update(((" " if n else "") + " ".join(map(str, ids))).encode())
+                    ids_hash.update(((" " if n else "") + " ".join(map(decimal.__getitem__, ids))).encode())
                     raw_hash.update(encoding.decode_bytes(ids))
                     n += len(ids)
             if done:
