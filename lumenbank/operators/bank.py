@@ -207,6 +207,24 @@ def longest_runs(matches: DataFrame, n: int) -> DataFrame:
     return keep_first(runs, ["unit"], [F.desc("words"), F.col("start"), F.col("doc")]).select("unit", "doc", "start", "words")
 
 
+def pairs_sharing_runs(rows: DataFrame, share: float = 0.5) -> DataFrame:
+    """Pairs of (id, n, question, grams) rows where one has ``share`` of the other's grams in common, candidates by prefix filter.
+
+    A row is indexed by its rarest grams only, as many as it can lack plus
+    one: rows that share enough meet on one of them, and a gram that a third
+    of all rows have is in nobody's prefix unless all their grams are as common.
+    """
+    grams = rows.select("id", F.explode("grams").alias("gram"), F.size("grams").alias("size"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "gram"))
+    prefix = grams.join(common, "gram").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(share * F.col("size")) + 1)
+    a, b = prefix.select("gram", "id"), prefix.select("gram", F.col("id").alias("other_id"))
+    met = a.join(b, "gram").filter("id < other_id").select("id", "other_id").distinct()
+    other = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
+    both = F.size(F.array_intersect("grams", "other_grams"))
+    return met.join(rows, "id").join(other, "other_id").filter(both >= share * F.least(F.size("grams"), F.size("other_grams")))
+
+
 def largest_remainder(rows: DataFrame, group: list[str], share: str, total: str, order: str) -> DataFrame:
     """Adds ``quota``: whole parts of total * share / sum(share), leftovers to the largest remainders, ties by ``order``."""
     w = W.partitionBy(*group)
