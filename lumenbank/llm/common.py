@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lumenbank.sources.storage import saved
+
+__all__ = ["map_rows", "saved", "small_side", "table", "training_half"]
+
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,19 +45,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple] | l
     return df.mapInArrow(run, kind)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back: computed once, and safe when executors go."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = context.getConf().get("spark.checkpoint.dir")
-        if not place:  # a local session, as in tests
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
-
-
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """A join side that was counted: broadcast up to ``most_rows``, else left to a shuffled join.
 
