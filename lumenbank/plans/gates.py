@@ -391,7 +391,7 @@ def option_map(spark, sf):
     return bank(spark, sf).select("id", F.col("options")[F.col("answer")].alias("key_text"), F.aggregate(F.transform(B.values(F.col("options")), F.length), F.lit(0), lambda s, x: s + x).alias("total"))
 
 
-@query("scl11_cost_model", f"{BANK} SELECT file, count(*) AS items, sum(length(question))::BIGINT AS chars, 65000 + 850 * count(*) + sum(length(question)) // 4 AS tokens FROM bank GROUP BY file")
+@query("scl11_cost_model", f"{BANK} SELECT file, count(*) AS items, sum(length(question))::BIGINT AS chars, (65000 + 850 * count(*) + sum(length(question)) // 4)::BIGINT AS tokens FROM bank GROUP BY file")
 def cost_model(spark, sf):
     n, chars = F.count("*"), F.sum(F.length("question"))
     return bank(spark, sf).groupBy("file").agg(n.alias("items"), chars.alias("chars"), (65_000 + 850 * n + F.floor(chars / 4)).alias("tokens"))
