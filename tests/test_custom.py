@@ -144,3 +144,21 @@ def test_rest_stands_without_the_corpus_folder(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'agg02_pi_stats' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_packing(spark):
+    from lumenbank.operators import packing as P
+
+    areas = spark.createDataFrame([("c", "a", 25), ("c", "b", 4), ("c", "d", 7), ("c", "e", 6)], "cluster string, area string, n long")
+    got = sorted((r.area, r.part, r.chunk, r.n) for r in P.next_fit(areas, "cluster", 10).collect())
+    assert got == [("a", 0, 1, 9), ("a", 1, 2, 8), ("a", 2, 3, 8), ("b", 0, 4, 4), ("d", 0, 5, 7), ("e", 0, 6, 6)]
+    bins = {r.area: r.bin for r in P.first_fit_decreasing(areas, "cluster", 10).collect()}
+    assert bins == {"a": 1, "d": 2, "e": 3, "b": 3}
+
+
+def test_acceptance_grows_the_shelf(spark):
+    from lumenbank.operators import packing as P
+
+    rows = spark.createDataFrame([("s", 1, ["a", "b"]), ("s", 2, ["a", "b"]), ("s", 3, ["c"]), ("s", 4, ["d"])], "shelf string, id long, words array<string>")
+    got = {r.id: (r.accepted, r.nearest) for r in P.accept_in_order(rows, "shelf", 0.5, 2).collect()}
+    assert got == {1: (True, None), 2: (False, 1), 3: (True, 1), 4: (False, 1)}
