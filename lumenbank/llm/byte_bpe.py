@@ -21,11 +21,45 @@ from lumenbank.llm.common import map_rows
 CHUNK, OVERLAP = 32_768, 1_024
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def load_encoding(path: str, pattern: str):
     """The library's merges over the rank file. Pieces are spans that begin and end at pre-token borders."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The raw bytes of each id."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for raw, i in ranks.items():
+        out[i] = raw
+    return out
+
+
+class Digest:
+    """Counts ids, and hashes their decimals joined by spaces and their decoded bytes, part by part."""
+
+    def __init__(self, tables: tuple[list[bytes], list[str]]):
+        self.raw, self.decimal = tables
+        self.n, self.ids, self.bytes = 0, hashlib.sha256(), hashlib.sha256()
+
+    @staticmethod
+    def tables(path: str) -> tuple[list[bytes], list[str]]:
+        raw = token_bytes(path)
+        return raw, [str(i) for i in range(len(raw))]
+
+    def add(self, ids: list[int]) -> None:
+        if ids:
+            self.ids.update(((" " if self.n else "") + " ".join(map(self.decimal.__getitem__, ids))).encode())
+            self.bytes.update(b"".join(map(self.raw.__getitem__, ids)))
+            self.n += len(ids)
+
+    def row(self) -> tuple[int, str, str]:
+        return self.n, self.ids.hexdigest(), self.bytes.hexdigest()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -106,48 +140,57 @@ def decode(parts: DataFrame, path: str) -> DataFrame:
     """The bytes of ``ids`` as ``raw``: the tokens' raw bytes one after the other, since a part may end inside a character."""
 
     def make():
-        encoding = load_encoding(path, r"[\s\S]+")
-        return lambda *v: [(*v[:-1], encoding.decode_bytes(v[-1]))]
+        raw = token_bytes(path)
+        return lambda *v: [(*v[:-1], b"".join(map(raw.__getitem__, v[-1])))]
 
     keep = [c for c in parts.columns if c != "ids"]
     return map_rows(parts.select(*keep, "ids"), make, ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in keep) + ", raw binary")
 
 
-def digest(parts: DataFrame, path: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, and the SHA-256 of its decimal ids joined by spaces and of its decoded bytes.
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    Both hashes are fed part by part in order, so a task never holds more than
-    one part; rows of one part need no shuffle.
-    """
-    schema = StructType.fromDDL(f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digest(parts: DataFrame, path: str) -> DataFrame:
+    """doc_id and the :class:`Digest` of each ``row`` of parts that stand together and in order; a task never holds more than one part."""
+    schema = StructType.fromDDL(f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, {DIGEST}")
 
     def run(batches):
-        encoding, arrow = load_encoding(path, r"[\s\S]+"), to_arrow_schema(schema)
-        decimal = [str(i) for i in range(encoding.n_vocab)]
-        now = doc = ids_hash = raw_hash = None
-        n = 0
+        tables, arrow = Digest.tables(path), to_arrow_schema(schema)
+        now = doc = held = None
         for batch in batches:
             done = []
-            rows, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, (row, doc_id) in enumerate(zip(rows, docs)):
-                ids = batch.column(2)[at].values.to_numpy().tolist()
+            for at, (row, doc_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if row != now:
                     if now is not None:
-                        done.append((doc, n, ids_hash.hexdigest(), raw_hash.hexdigest()))
-                    now, doc, n, ids_hash, raw_hash = row, doc_id, 0, hashlib.sha256(), hashlib.sha256()
-                if ids:
-                    ids_hash.update(((" " if n else "") + " ".join(map(decimal.__getitem__, ids))).encode())
-                    raw_hash.update(encoding.decode_bytes(ids))
-                    n += len(ids)
+                        done.append((doc, *held.row()))
+                    now, doc, held = row, doc_id, Digest(tables)
+                held.add(batch.column(2)[at].values.to_numpy().tolist())
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), arrow)], schema=arrow)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((doc, n, ids_hash.hexdigest(), raw_hash.hexdigest()), arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((doc, *held.row()), arrow)], schema=arrow)
 
     return parts.select("row", "doc_id", "ids").mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Encodes and decodes ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, a row for each row of ``docs``."""
-    short, long = encode_sides(docs, path, pattern, chunk, overlap)
-    return digest(short, path).unionByName(digest(long.repartition("row").sortWithinPartitions("row", "part"), path))
+    """Encodes and decodes ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, a row for each row of ``docs``.
+
+    Texts of one chunk go through encoder and digest in one worker, so their
+    ids never leave it; the parts of longer ones meet in order.
+    """
+
+    def make():
+        encoding, tables = load_encoding(path, pattern), Digest.tables(path)
+
+        def one(doc, text):
+            held = Digest(tables)
+            held.add(encoding.encode_to_numpy(text, disallowed_special=()).tolist())
+            return [(doc, *held.row())]
+
+        return one
+
+    text = F.coalesce("text", F.lit(""))
+    short = docs.select("doc_id", text.alias("text")).filter(F.length("text") <= chunk)
+    long = encode_sides(docs, path, pattern, chunk, overlap)[1]
+    return map_rows(short, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGEST}").unionByName(digest(long.repartition("row").sortWithinPartitions("row", "part"), path))

@@ -19,7 +19,7 @@ from lumenbank.llm.graph import components
 SEED = 42
 #: Fingerprints of a shard tree; a larger shard becomes blocks of about this many, each a tree for every later block.
 TREE = 4_096
-#: Rows of a worker's forest and pairs of its search front at a time.
+#: Rows of a worker's forest, and pairs of its search front at a time (over the words of a fingerprint).
 FOREST_ROWS, FRONT = 40_000, 1 << 20
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -218,11 +218,12 @@ def build_forest(values: np.ndarray, group: np.ndarray, members: np.ndarray) ->
 def search_forest(values: np.ndarray, roots: np.ndarray, askers: np.ndarray, keys: np.ndarray, children: np.ndarray, radius: int):
     """Pairs of asker and tree node within ``radius``, following only edges within it of the distance to the parent."""
     span = 64 * values.shape[1] + 1
+    most = FRONT // values.shape[1]
     fronts = [(askers, roots)]
     while fronts:
         a, n = fronts.pop()
-        if len(a) > FRONT:
-            fronts += [(a[k : k + FRONT // 2], n[k : k + FRONT // 2]) for k in range(0, len(a), FRONT // 2)]
+        if len(a) > most:
+            fronts += [(a[k : k + most // 2], n[k : k + most // 2]) for k in range(0, len(a), most // 2)]
             continue
         d = distance(values[a], values[n])
         hit = (d <= radius) & (a != n)
