@@ -79,8 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     sketches = saved(item_sketches(items, share))
     if sketches.isEmpty():
-        found = docs.limit(0).select("doc_id").crossJoin(items.limit(0).select("item_id"))
-        return found.select("doc_id", "item_id", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
+        nothing = {"item_id": items.schema["item_id"].dataType, "n_item": "long", "n_shared": "long", "containment": "double"}
+        return docs.limit(0).select("doc_id", *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()])
     pairs = saved(candidates(rows, sketches))
     # Texts of documents with a candidate, and their shingles, once each.
     some = small_side(pairs.select("row").distinct(), BROADCAST_ROWS)
