@@ -2,62 +2,37 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbank.llm.common import map_rows, saved, small_side
 from lumenbank.llm.graph import components
+from lumenbank.llm.shingles import keep_one, shingle_hashes
+
+__all__ = ["EXACT", "Settings", "fingerprint", "fingerprint_hex", "fingerprints", "keep_one", "links", "near_duplicates"]
 
-SEED = 42
 #: Fingerprints of a shard tree; a larger shard becomes blocks of about this many, each a tree for every later block.
 TREE = 4_096
 #: Rows of a worker's forest, and pairs of its search front at a time (over the words of a fingerprint).
 FOREST_ROWS, FRONT = 40_000, 1 << 20
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a shingle, 64-bit words of a fingerprint, differing bits of a link, and how shards are made.
-
-    ``tables`` 0: shards by pigeonhole, which finds every link. Otherwise so
-    many shards a fingerprint, each by ``sampled_bits`` of its bits; a pair
-    with a share d of its bits unlike is found with probability
-    1 - (1 - (1 - d) ** sampled_bits) ** tables.
-    """
+    """Words of a shingle, 64-bit words of a fingerprint and differing bits of a link."""
 
     shingle: int = 3
     words: int = 1
     radius: int = 3
-    tables: int = 0
-    sampled_bits: int = 16
 
 
 EXACT = Settings()
-#: Five-word shingles alike to 0.8: a cosine of 0.89, so 0.15 of 384 bits differ (58, with a deviation of 7); 93 % of such pairs share a shard.
-SIMILAR = Settings(shingle=5, words=6, radius=63, tables=36)
-
-
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """XXH64 of each n-word shingle of the lower-cased (A-Z) text, repeats included; of the whole sequence if there are fewer words."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, ends = (ends - [len(w) + 1 for w in words]).tolist(), (ends - 1).tolist()
-    joined, one = b" ".join(words), xxhash.xxh64_intdigest
-    n = min(n, len(words))
-    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :])), np.uint64, len(words) - n + 1)
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -99,15 +74,11 @@ def shard_masks(settings: Settings, rows: int) -> list[list[int]]:
     blocks are alike; m grows with the rows, so that a key has few of them.
     """
     bits = 64 * settings.words
-    if settings.tables:
-        rng = np.random.default_rng(SEED)
-        chosen = [rng.choice(bits, settings.sampled_bits, replace=False).tolist() for _ in range(settings.tables)]
-    else:
-        m = settings.radius + 1
-        while rows >> (bits * (m - settings.radius) // m) > 64 and comb(m + 1, settings.radius) <= 56:
-            m += 1
-        borders = [bits * k // m for k in range(m + 1)]
-        chosen = [[b for k in some for b in range(borders[k], borders[k + 1])] for some in combinations(range(m), m - settings.radius)]
+    m = settings.radius + 1
+    while rows >> (bits * (m - settings.radius) // m) > 64 and comb(m + 1, settings.radius) <= 56:
+        m += 1
+    borders = [bits * k // m for k in range(m + 1)]
+    chosen = [[b for k in some for b in range(borders[k], borders[k + 1])] for some in combinations(range(m), m - settings.radius)]
     out = []
     for some in chosen:
         words = [sum(1 << (b % 64) for b in some if b // 64 == w) for w in range(settings.words)]
@@ -275,10 +246,3 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
 
 def fingerprint_hex(signature: Column) -> Column:
     return F.lower(F.lpad(F.hex(signature[0]), 16, "0"))
-
-
-def keep_one(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, with all their columns."""
-    found = near_duplicates(docs, settings)
-    gone = saved(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(small_side(gone, 2_000_000), "doc_id", "left_anti").select(docs.columns)

@@ -176,6 +176,45 @@ def test_similar_documents_keep_one(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(40))
 
 
+def slow_near_copies(rows):
+    """doc_ids that stay: brute-force Jaccard similarity of five-word shingles, and chains of links."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for at, a in enumerate(ids):
+        for b in ids[:at]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in ids if find(i) == i}
+
+
+def edited(text, at):
+    """The text with the words at some places replaced."""
+    words = text.split()
+    for k in at:
+        words[k] = f"new{k}"
+    return " ".join(words)
+
+
+def test_isolated_pairs_down_to_the_limit_are_joined(spark):
+    plain = texts(150, 4, words=220, vocabulary=3000)
+    rows = list(enumerate(plain)) + [(1000 + i, edited(t, (20, 60, 100, 140) if i % 2 else (20, 60, 100, 140, 180))) for i, t in enumerate(plain)]
+    want = slow_near_copies(rows)  # 4 words of 220: 0.83, 5: 0.79
+    assert want == set(range(150)) | set(range(1000, 1150, 2))
+    got = simhash.keep_one(docs_of(spark, [(i, t, "x", "s") for i, t in rows]))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).filter("a <> 100")
     roots = {r.node: r.root for r in graph.components(edges).collect()}
