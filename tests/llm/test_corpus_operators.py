@@ -215,6 +215,19 @@ def test_isolated_pairs_down_to_the_limit_are_joined(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_unlike_texts_with_one_repeated_passage_stay(spark):
+    own, passage = texts(12, 6, words=40, vocabulary=3000), " ".join(f"again{k}" for k in range(10))
+    rows = [(i, f"{t} {' '.join([passage] * 60)}") for i, t in enumerate(own)]
+    base = texts(1, 7, words=300, vocabulary=3000)[0]
+    rows += [(100 + i, edited(base, range(5, 300 - 12 * i, 60))) for i in range(5)]
+    rows += [(200 + i, edited(base, range(10 * i, 10 * i + 60, 10))) for i in range(24)]  # a group in which some pairs are alike
+    rows += [(300, None), (301, " "), (302, "one two"), (303, "ONE  Two")]
+    want = slow_near_copies(rows)
+    assert set(range(12)) <= want
+    got = simhash.keep_one(docs_of(spark, [(i, t, "x", "s") for i, t in rows]))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).filter("a <> 100")
     roots = {r.node: r.root for r in graph.components(edges).collect()}
