@@ -207,22 +207,30 @@ def longest_runs(matches: DataFrame, n: int) -> DataFrame:
     return keep_first(runs, ["unit"], [F.desc("words"), F.col("start"), F.col("doc")]).select("unit", "doc", "start", "words")
 
 
-def pairs_sharing_runs(rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs of (id, n, question, grams) rows where one has ``share`` of the other's grams in common, candidates by prefix filter.
-
-    A row is indexed by its rarest grams only, as many as it can lack plus
-    one: rows that share enough meet on one of them, and a gram that a third
-    of all rows have is in nobody's prefix unless all their grams are as common.
+def pairs_sharing_bigrams(rows: DataFrame, ratio: float) -> DataFrame:
+    """Pairs of different (id, question) rows, with ``n`` characters each, that may have the sequence ratio; none that has it is missed.
+
+    The ratio's M matched characters stand in one order in both texts, and
+    each of the n + m - 2M others parts two of them at most: 3M - 1 - n - m
+    bigrams are common, with M >= ratio (n + m) / 2 and so m >= n ratio / (2 - ratio).
+    A row is indexed by its rarest bigrams only, as many as it can lack plus
+    one. Bigrams are numbered where they repeat. Texts under three characters
+    reach no such ratio (from 0.81) with another.
     """
-    grams = rows.select("id", F.explode("grams").alias("gram"), F.size("grams").alias("size"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    ratio -= 1e-5  # room for a ratio that is rounded
+    part = 1.5 * ratio - 1
+    at = F.explode(F.sequence(F.lit(1), F.length("question") - 1)).alias("at")
+    found = rows.withColumn("n", F.length("question")).filter("n > 2").select("id", "n", "question", at).withColumn("gram", F.expr("substring(question, at, 2)"))
+    found = found.select("id", "n", F.struct("gram", F.row_number().over(W.partitionBy("id", "gram").orderBy("at")).alias("k")).alias("gram"))
+    common = found.groupBy("gram").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "gram"))
-    prefix = grams.join(common, "gram").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(share * F.col("size")) + 1)
-    a, b = prefix.select("gram", "id"), prefix.select("gram", F.col("id").alias("other_id"))
-    met = a.join(b, "gram").filter("id < other_id").select("id", "other_id").distinct()
-    other = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
+    prefix = found.join(common, "gram").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(part * F.col("n") * (1 + ratio / (2 - ratio)) - 1 - 1e-9))
+    a, b = prefix.select("gram", "id", "n"), prefix.select("gram", F.col("id").alias("other_id"), F.col("n").alias("other_n"))
+    met = a.join(b, "gram").filter("id < other_id").filter(2 * F.least("n", "other_n") >= ratio * (F.col("n") + F.col("other_n"))).select("id", "other_id").distinct()
+    texts = rows.select("id", "question", F.length("question").alias("n")).join(found.groupBy("id").agg(F.collect_list("gram").alias("grams")), "id")
+    other = texts.select(*[F.col(c).alias(f"other_{c}") for c in texts.columns])
     both = F.size(F.array_intersect("grams", "other_grams"))
-    return met.join(rows, "id").join(other, "other_id").filter(both >= share * F.least(F.size("grams"), F.size("other_grams")))
+    return met.join(texts, "id").join(other, "other_id").filter(both >= part * (F.col("n") + F.col("other_n")) - 1 - 1e-9).drop("grams", "other_grams")
 
 
 def largest_remainder(rows: DataFrame, group: list[str], share: str, total: str, order: str) -> DataFrame:

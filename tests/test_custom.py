@@ -35,6 +35,28 @@ def test_near_duplicate_stems(spark):
     assert got and all(r >= 0.82 for r in got.values())
 
 
+def test_stems_at_the_ratio_itself(spark, monkeypatch):
+    from lumenbank.plans import live
+
+    r = np.random.default_rng(3)
+    stems = ["abc", "abcd", "a", "ab", "", "two words", "two wordz"]
+    for i in range(40):  # letters put in and changed, down to ratios around 0.82
+        base = list(r.choice(list("abcdefghi   "), 40))
+        other = list(base)
+        for k in r.choice(38, 1 + i % 9, replace=False):
+            other[k] = other[k] + "x" if i % 2 else "y"
+        stems += ["".join(base), "".join(other)]
+    rows = [(i, x) for i, x in enumerate(stems + stems[:6])]
+    monkeypatch.setattr(live, "bank", lambda spark, sf: spark.createDataFrame(rows, "id long, question string"))
+    got = {(x.first_id, x.second_id): x.ratio for x in live.near_duplicate_stems(spark, SF).collect()}
+    want = {(i, len(stems) + i): 1.0 for i in range(6)}
+    for (i, x), (j, y) in product(enumerate(stems), enumerate(stems)):
+        ratio = SequenceMatcher(None, x, y).ratio()
+        if i < j and abs(len(x) - len(y)) <= 0.35 * max(len(x), len(y)) and ratio >= 0.82:
+            want[i, j] = pytest.approx(ratio, abs=1e-6)
+    assert got == want and any(v < 0.9 for v in got.values())
+
+
 def test_poisson_binomial(spark):
     chances = [0.25, 0.5, 0.75, 0.25]
     dist = np.zeros(5)
