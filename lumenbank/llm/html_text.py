@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,29 +16,46 @@ from lumenbank.llm.common import map_rows
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD_TAGS = set("script style noscript template iframe textarea title svg math object canvas audio video".split())
-BOILER_TAGS = set("nav footer aside form dialog menu button select fieldset label head".split())
+BOILER_TAGS = set("nav footer aside form dialog menu button select fieldset label head search".split())
 BOILER_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead "
-    "menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion recommended related replies reply share sharing sidebar signup social sponsor sponsored "
-    "subscribe tags toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead "
+    "menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related replies reply share sharing sidebar signup social sponsor sponsored "
+    "subscribe subscription toolbar topbar".split()
+)
+#: Words that may stand beside one of these in a class name without making it another thing.
+PLACE_WORDS = set(
+    "area articles bar block blocks bottom box button buttons column container footer form global group header holder inner item items left link links list main menu "
+    "news outer page panel posts primary reader right row secondary section site slot social stories strip tags thread top unit user users widget widgets wrap wrapper".split()
 )
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+
+BLOCKS = "array<struct<text:string,words:double,linked:double,boiler:double,main:double,heading:double>>"
+
 
-BLOCK = "text string, words double, linked double, boiler double, main double, heading double"
+def furniture(name: str) -> bool:
+    """Whether a class or id names page furniture: one of BOILER_NAMES, beside PLACE_WORDS and numbers at most.
+
+    So ``ad-slot`` and ``related-posts`` do, and ``article-header``, ``notice-board`` and ``share-price`` do not.
+    """
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    return not BOILER_NAMES.isdisjoint(parts) and all(p in BOILER_NAMES or p in PLACE_WORDS for p in parts)
 
 
 def boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether an element holds no main text, by its tag, role, class or id; the page itself and ``main`` always may."""
+    if tag in ("html", "body", "main"):
+        return False
     if tag in BOILER_TAGS or tag == "header" and not in_main:
         return True
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "") or name == "role" and value in BOILER_ROLES:
             return True
-        if name in ("class", "id") and not BOILER_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and any(map(furniture, value.split())):
             return True
     return False
 
@@ -122,61 +139,79 @@ def blocks(html: str | None) -> list[tuple]:
 
 def block_frame(pages: DataFrame) -> DataFrame:
     """page_id, url and ``blocks``, an array in page order."""
-    return map_rows(pages.select("page_id", "url", "html"), lambda: lambda i, u, h: [(i, u, blocks(h))], f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, blocks array<struct<{BLOCK.replace(' string', ':string').replace(' double', ':double')}>>")
-
-
-FEATURES = ["words", "density", "before_words", "before_density", "after_words", "after_density", "boiler", "main", "heading"]
-
-# Labelled blocks in the order of FEATURES, then 1 for main text.
-LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 12, 0.0, 1, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
-    (25, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 0),
-    (60, 0.0, 80, 0.0, 0, 0.0, 1, 1, 0, 0),
-    (80, 0.1, 80, 0.0, 30, 0.0, 1, 0, 0, 0),
-    (140, 0.0, 90, 0.0, 60, 0.0, 1, 0, 0, 0),
-    (14, 0.1, 70, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (12, 0.9, 10, 0.9, 10, 0.9, 1, 1, 0, 0),
-    (1, 0.0, 60, 0.0, 45, 0.0, 1, 1, 0, 0),
-    (4, 0.0, 60, 0.0, 0, 0.0, 1, 1, 1, 0),
-    (1, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 9, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 1, 0.0, 2, 0.0, 0, 1, 0, 1),
-    (8, 0.0, 9, 0.0, 8, 0.0, 0, 1, 1, 1),
-    (10, 0.0, 12, 1.0, 200, 0.0, 0, 1, 1, 1),
-    (40, 0.0, 8, 0.0, 90, 0.0, 0, 1, 0, 1),
-    (200, 0.0, 10, 0.0, 20, 0.0, 0, 1, 0, 1),
-    (500, 0.02, 200, 0.0, 14, 0.1, 0, 1, 0, 1),
-    (30, 0.4, 50, 0.0, 60, 0.1, 0, 1, 0, 1),
-    (5, 1.0, 70, 0.0, 80, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (40, 0.0, 8, 0.0, 90, 0.0, 0, 0, 0, 1),
-    (120, 0.05, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 60, 0.0, 55, 0.1, 0, 0, 0, 1),
-    (16, 0.1, 14, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (9, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1, 1),
-    (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (6, 0.2, 5, 0.9, 3, 0.5, 0, 0, 0, 0),
-    (30, 0.9, 8, 0.8, 12, 0.9, 0, 0, 0, 0),
-    (18, 0.7, 60, 0.0, 9, 0.8, 0, 0, 0, 0),
-    (5, 0.0, 4, 0.0, 3, 0.3, 0, 0, 0, 0),
-    (7, 0.0, 6, 0.5, 0, 0.0, 0, 0, 0, 0),
+    return map_rows(pages.select("page_id", "url", "html"), lambda: lambda i, u, h: [(i, u, blocks(h))], f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, blocks {BLOCKS}")
+
+
+FEATURES = ["words", "density", "before_words", "before_density", "after_words", "after_density", "boiler", "main", "elsewhere", "heading"]
+
+# Parts of the labelled pages. Each is a tag, its words and how many of them are linked.
+BODY = [("h1", 8, 0), ("p", 25, 0), ("p", 6, 0), ("p", 60, 4), ("h2", 3, 0), ("li", 10, 0), ("li", 14, 5), ("p", 140, 0), ("blockquote", 18, 0), ("p", 1, 0), ("p", 35, 12), ("p", 90, 2)]
+#: Links that belong to an article: sources, a table of contents, a line that is one link.
+BODY_LINKS = [("p", 5, 5), ("li", 3, 3), ("li", 4, 4), ("li", 2, 2)]
+#: Furniture: what it is called, its own tag or none, and its blocks.
+FURNITURE = [
+    ("menu", "nav", [("li", 1, 1)] * 5),
+    ("breadcrumbs", "nav", [("li", 1, 1), ("li", 2, 2)]),
+    ("sidebar", "aside", [("h3", 2, 0), ("li", 6, 6), ("li", 4, 4)]),
+    ("related-posts", "aside", [("h3", 2, 0), ("li", 9, 9), ("li", 7, 7), ("li", 12, 12)]),
+    ("share-buttons", "", [("li", 1, 1)] * 3),
+    ("site-footer", "footer", [("p", 6, 1), ("li", 2, 2), ("li", 1, 1)]),
 ]
+#: Furniture without links: only its name or its place tells it from a text.
+WORDY = [("cookie-notice", "dialog", [("p", 24, 2), ("p", 1, 1)]), ("ad", "aside", [("p", 9, 0)]), ("comments", "", [("h3", 2, 0), ("p", 45, 0), ("p", 20, 0)]), ("newsletter", "form", [("p", 14, 0), ("p", 2, 0)])]
 
 
-def train_tree(spark: SparkSession, depth: int = 6):
-    """A decision tree from LABELLED, as a function from a struct of features to a boolean column."""
-    rows = spark.createDataFrame([tuple(map(float, r)) for r in LABELLED], [*FEATURES, "label"]).coalesce(1)
+def labelled_pages() -> list[tuple[str, list[int]]]:
+    """The small labelled table: pages made of the parts above, and for each block of them whether it is main text.
+
+    Four markups: ``article`` with tags that tell furniture, ``article`` with class names, ``article`` with bare
+    furniture outside it, and bare elements alone. Orders turn, so that every kind of block stands before and after
+    every other. Where names and places tell nothing, only furniture of links is in the pages.
+    """
+
+    def block(tag: str, words: int, linked: int) -> str:
+        link = f"<a href='/x'>{' '.join(['word'] * linked)}</a>" if linked else ""
+        return f"<{tag}>{' '.join(['word'] * (words - linked))} {link}</{tag}>"
+
+    out = []
+    for turn in range(len(BODY)):
+        for markup in ("tags", "names", "bare", "bare without article"):
+            named = markup in ("tags", "names")
+            body = [BODY[0]] + BODY[1 + turn :] + BODY[1 : 1 + turn]
+            body = body[: 2 + 3 * turn % len(body)]
+            if markup != "bare without article":
+                body = body + BODY_LINKS[turn % 2 :] if turn % 3 else body[:1] + BODY_LINKS[: 1 + turn % 3] + body[1:]
+            parts = FURNITURE + (WORDY if markup != "bare without article" else [])
+            parts = parts[turn % len(parts) :] + parts[: turn % len(parts)]
+            cut = 1 + turn % (len(parts) - 1)
+
+            def place(some):
+                html, labels = "", []
+                for name, tag, held in some:
+                    tag, mark = (tag, "") if markup == "tags" and tag else ("div", f" class='{name}'" if named else "")
+                    html += f"<{tag}{mark}>" + "".join(block(*b) for b in held) + f"</{tag}>"
+                    labels += [0] * len(held)
+                return html, labels
+
+            (before, b), (after, a) = place(parts[:cut]), place(parts[cut:])
+            inside, i = place([WORDY[2]] if named and turn % 2 else [])  # comments under the text, within the article
+            around = "div" if markup == "bare without article" else "article"
+            html = f"<body>{before}<{around}>{''.join(block(*x) for x in body)}{inside}</{around}>{after}</body>"
+            out.append((html, b + [1] * len(body) + i + a))
+    return out
+
+
+def fitted_tree(spark: SparkSession, depth: int = 6) -> DecisionTreeClassificationModel:
+    """The Spark model that learned from the blocks of :func:`labelled_pages`, a few hundred rows."""
+    pages = spark.createDataFrame([(blocks(html), labels) for html, labels in labelled_pages()], f"blocks {BLOCKS}, labels array<int>").coalesce(1)
+    rows = pages.select(F.explode(F.arrays_zip(with_features(F.col("blocks")).alias("x"), F.col("labels").alias("y"))).alias("z")).select("z.x.*", F.col("z.y").cast("double").alias("label"))
     frame = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=1, seed=7, maxBins=64).fit(frame)
+    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=2, seed=7, maxBins=64).fit(frame)
+
+
+def train_tree(spark: SparkSession, depth: int = 6):
+    """A decision tree from the labelled pages, as a function from a struct of features to a boolean column."""
+    model = fitted_tree(spark, depth)
 
     def column(node, x) -> Column:
         if node.subtreeDepth() == 0:
@@ -189,13 +224,17 @@ def train_tree(spark: SparkSession, depth: int = 6):
 
 
 def with_features(found: Column) -> Column:
-    """The blocks' features with those of the neighbours before and after; outside the page they are zero."""
+    """The blocks' features with those of the neighbours before and after; outside the page they are zero.
+
+    ``elsewhere``: the page has main elements with text, and the block stands outside them.
+    """
     words = lambda b: F.coalesce(b["words"], F.lit(0.0))
     density = lambda b: F.coalesce(b["linked"] / b["words"], F.lit(0.0))
+    marked = F.exists(found, lambda b: (b["main"] == 1) & (b["boiler"] == 0))
 
     def one(b, i):
         before, after = F.when(i > 0, F.get(found, i - 1)), F.get(found, i + 1)
-        values = [words(b), density(b), words(before), density(before), words(after), density(after), b["boiler"], b["main"], b["heading"]]
+        values = [words(b), density(b), words(before), density(before), words(after), density(after), b["boiler"], b["main"], F.when(marked & (b["main"] == 0), 1.0).otherwise(0.0), b["heading"]]
         return F.struct(b["text"].alias("text"), *[v.alias(n) for v, n in zip(values, FEATURES)])
 
     return F.transform(found, one)
