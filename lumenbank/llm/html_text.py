@@ -155,6 +155,7 @@ FURNITURE = [
     ("sidebar", "aside", [("h3", 2, 0), ("li", 6, 6), ("li", 4, 4)]),
     ("related-posts", "aside", [("h3", 2, 0), ("li", 9, 9), ("li", 7, 7), ("li", 12, 12)]),
     ("share-buttons", "", [("li", 1, 1)] * 3),
+    ("recommended", "aside", [("li", 5, 5), ("li", 8, 8), ("li", 3, 3)]),
     ("site-footer", "footer", [("p", 6, 1), ("li", 2, 2), ("li", 1, 1)]),
 ]
 #: Furniture without links: only its name or its place tells it from a text.
@@ -166,50 +167,53 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
 
     Four markups: ``article`` with tags that tell furniture, ``article`` with class names, ``article`` with bare
     furniture outside it, and bare elements alone. Orders turn, so that every kind of block stands before and after
-    every other. Where names and places tell nothing, only furniture of links is in the pages.
+    every other. Where names and places tell nothing, only furniture of links and texts of six words or more are in the pages.
     """
 
     def block(tag: str, words: int, linked: int) -> str:
         link = f"<a href='/x'>{' '.join(['word'] * linked)}</a>" if linked else ""
         return f"<{tag}>{' '.join(['word'] * (words - linked))} {link}</{tag}>"
 
+    def place(some, markup):
+        html, labels = "", []
+        for name, tag, held in some:
+            tag, mark = (tag, "") if markup == "tags" and tag else ("div", f" class='{name}'" if markup in ("tags", "names") else "")
+            html += f"<{tag}{mark}>" + "".join(block(*b) for b in held) + f"</{tag}>"
+            labels += [0] * len(held)
+        return html, labels
+
+    def page(before, body, inside, after, markup):
+        (start, b), (end, a), (under, i) = (place(x, markup) for x in (before, after, inside))
+        around = "div" if markup == "bare without article" else "article"
+        return f"<body>{start}<{around}>{''.join(block(*x) for x in body)}{under}</{around}>{end}</body>", b + [1] * len(body) + i + a
+
     out = []
     for turn in range(len(BODY)):
-        for markup in ("tags", "names", "bare", "bare without article"):
-            named = markup in ("tags", "names")
+        for markup in ("tags", "names", "bare"):
             body = [BODY[0]] + BODY[1 + turn :] + BODY[1 : 1 + turn]
             body = body[: 2 + 3 * turn % len(body)]
-            if markup != "bare without article":
-                body = body + BODY_LINKS[turn % 2 :] if turn % 3 else body[:1] + BODY_LINKS[: 1 + turn % 3] + body[1:]
-            parts = FURNITURE + (WORDY if markup != "bare without article" else [])
+            body = body + BODY_LINKS[turn % 2 :] if turn % 3 else body[:1] + BODY_LINKS[: 1 + turn % 3] + body[1:]
+            parts = FURNITURE + WORDY
             parts = parts[turn % len(parts) :] + parts[: turn % len(parts)]
             cut = 1 + turn % (len(parts) - 1)
-
-            def place(some):
-                html, labels = "", []
-                for name, tag, held in some:
-                    tag, mark = (tag, "") if markup == "tags" and tag else ("div", f" class='{name}'" if named else "")
-                    html += f"<{tag}{mark}>" + "".join(block(*b) for b in held) + f"</{tag}>"
-                    labels += [0] * len(held)
-                return html, labels
-
-            (before, b), (after, a) = place(parts[:cut]), place(parts[cut:])
-            inside, i = place([WORDY[2]] if named and turn % 2 else [])  # comments under the text, within the article
-            around = "div" if markup == "bare without article" else "article"
-            html = f"<body>{before}<{around}>{''.join(block(*x) for x in body)}{inside}</{around}>{after}</body>"
-            out.append((html, b + [1] * len(body) + i + a))
+            comments = [WORDY[2]] if markup != "bare" and turn % 2 else []  # under the text, within the article
+            out.append(page(parts[:cut], body, comments, parts[cut:], markup))
+        # Every text next to every kind of furniture, in two orders, with nothing else to tell them apart.
+        for k, part in enumerate(FURNITURE):
+            body = [BODY[turn], BODY[(turn + k) % len(BODY)], BODY[turn]]
+            out.append(page([FURNITURE[k - 1]], body if body[0][1] > 5 else body[1:] if body[1][1] > 5 else BODY[1:2], [], [part], "bare without article"))
     return out
 
 
-def fitted_tree(spark: SparkSession, depth: int = 6) -> DecisionTreeClassificationModel:
+def fitted_tree(spark: SparkSession, depth: int = 10) -> DecisionTreeClassificationModel:
     """The Spark model that learned from the blocks of :func:`labelled_pages`, a few hundred rows."""
     pages = spark.createDataFrame([(blocks(html), labels) for html, labels in labelled_pages()], f"blocks {BLOCKS}, labels array<int>").coalesce(1)
     rows = pages.select(F.explode(F.arrays_zip(with_features(F.col("blocks")).alias("x"), F.col("labels").alias("y"))).alias("z")).select("z.x.*", F.col("z.y").cast("double").alias("label"))
     frame = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=2, seed=7, maxBins=64).fit(frame)
+    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=1, seed=7, maxBins=64).fit(frame)
 
 
-def train_tree(spark: SparkSession, depth: int = 6):
+def train_tree(spark: SparkSession, depth: int = 10):
     """A decision tree from the labelled pages, as a function from a struct of features to a boolean column."""
     model = fitted_tree(spark, depth)
 

@@ -23,6 +23,7 @@ PAGES = {
     "names of layouts": (f"<body class='has-sidebar'><div class='content-sidebar-wrap'><main><h1>T</h1><p>{LONG}</p></main></div><div class='sidebar'><p>{LONG}</p></div></body>", ["T", LONG]),
     "data attributes": (page(f"<div data-class='share' data-hidden='x'><p>{LONG}</p></div>"), [LONG]),
     "no article": (f"<body><div>{LINKS}</div><div><h1>About the garden of the house</h1><p>{LONG}</p><p>{LONG} again</p></div><div>{LINKS}</div></body>", ["About the garden of the house", LONG, f"{LONG} again"]),
+    "no article, a paragraph before links": (f"<body><div>{LINKS}</div><div><p>{LONG}</p><p>Seven words are here before the links.</p></div><div><ul><li><a href='/n'>Other news of the day</a></li>{LINKS}</ul></div></body>", [LONG, "Seven words are here before the links."]),
     "text outside the article": (page(f"<p>{LONG}</p>", before="<div>Skip to the text</div>", after="<div>A word from nobody at all in this place</div>"), [LONG]),
 }
 
@@ -41,7 +42,7 @@ def test_page(extracted, name):
 def test_tree_uses_words_and_density(spark):
     model = html_text.fitted_tree(spark)
     importance = dict(zip(html_text.FEATURES, model.featureImportances.toArray()))
-    assert importance["density"] > 0.02 and importance["words"] + importance["before_words"] + importance["after_words"] > 0.01
+    assert importance["density"] > 0.02 and importance["words"] > 0.02
     assert importance["after_density"] < 0.1
     root = model._call_java("rootNode")
     assert html_text.FEATURES[root.split().featureIndex()] != "after_density"
