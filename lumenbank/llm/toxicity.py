@@ -1,8 +1,17 @@
-"""Toxicity: an SVM on a gap-weighted subsequence kernel of words, with Nyström landmarks, and document scores from its margins."""
+"""Toxicity: an SVM on a gap-weighted subsequence kernel with Nyström landmarks, learned from labelled sentences as bags of words.
+
+A sentence is as toxic as its worst word: its margin is the largest of its
+words'. Sentences have the label of their document, and most sentences of a
+toxic document hold no insult, so the machine learns which words of them do:
+it starts with all words of toxic sentences as insults, and in each later
+round only those keep the label that it finds to be on that side itself
+(mi-SVM). Words that clean sentences have as often end on the other side.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from heapq import nlargest
 
 import numpy as np
@@ -12,16 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lumenbank.llm.common import saved
+from lumenbank.llm.common import map_rows, saved
 
 #: Letters of a subsequence lie within SPAN characters; each one costs a factor DECAY.
-SPAN, DECAY, DIMENSIONS = 6, 0.6, 1 << 16
-#: Labelled documents of each class that a fit takes at most, and words of each kind.
-FIT_DOCS, LANDMARKS, CLEAN_WORDS = 4_000, 400, 40_000
-#: Share of the toxic documents that a telling word or stem needs in contexts, and how many stems are taken.
-SUPPORT, STEMS = 0.008, 2_000
-#: The margins of a document that its score looks at.
-TOP = 3
+SPAN, DECAY, DIMENSIONS = 6, 0.7, 1 << 16
+#: The bound of what a fit learns from: labelled documents of each class, and of their sentences toxic and clean ones.
+FIT_DOCS, TOXIC_SENTENCES, CLEAN_SENTENCES = 4_000, 10_000, 20_000
+#: Landmarks of the kernel, cost of a margin below one in the first round and later, and rounds.
+LANDMARKS, COSTS, ROUNDS = 480, (0.2, 20.0), 4
+#: The most that the margin of a disguised insult is raised to.
+HIDDEN_GOAL = 3.0
+#: Words of a sentence; a longer one counts as several. Letters of a word that is learned from.
+WORDS, LETTERS = 40, 64
+#: A text is judged by so many of its largest sentence margins, each against what toxic and clean texts have there.
+RANKS = (1, 2, 3, 5)
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -46,6 +59,15 @@ def units(text: str | None) -> list[str]:
     return out + joined if joined else out
 
 
+_END = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def sentences(text: str | None) -> list[tuple[str, ...]]:
+    """The different sentences of a whole text as :func:`units`, at most WORDS of them in each."""
+    found = dict.fromkeys(tuple(some[k : k + WORDS]) for s in _END.split(text or "") if (some := units(s)) for k in range(0, len(some), WORDS))
+    return list(found)
+
+
 def kernel_map(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of the kernel's feature space: row numbers, hashed subsequences, and weights of unit length.
 
@@ -98,58 +120,60 @@ def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 2.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss by Newton steps; y is 1 or -1."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(len(w))
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss by Newton steps, in blocks of rows; ``y`` is the margin that a row should reach, with its sign."""
+    n = x.shape[1]
+    w, ridge = np.zeros(n + 1), np.eye(n + 1)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        za = z[active] * weight[active, None]
-        step = np.linalg.solve(ridge + 2 * cost * za.T @ z[active], 2 * cost * za.T @ y[active])
-        if np.allclose(step, w, atol=1e-6):
+        curve, slope = ridge.copy(), np.zeros(n + 1)
+        for k in range(0, len(x), 8_192):
+            z, goal = x[k : k + 8_192], y[k : k + 8_192]
+            active = np.sign(goal) * (z @ w[:-1].astype(np.float32) + w[-1]) < np.abs(goal)
+            z = np.hstack([z[active], np.ones((int(active.sum()), 1), np.float32)])
+            za = z * (2 * cost * weight[k : k + 8_192][active, None]).astype(np.float32)
+            curve += za.T @ z
+            slope += za.T @ goal[active].astype(np.float32)
+        step = np.linalg.solve(curve, slope)
+        if np.abs(step - w).max() < 1e-4:
             break
         w = step
     return w[:-1], float(w[-1])
 
 
 class ToxicModel:
-    """``direction`` and ``bias`` give a word's margin; ``curve`` turns a document's top margins into a score."""
+    """``direction`` and ``bias`` give a word's margin; ``curves`` turn each rank's margin into a share of toxic texts."""
 
-    def __init__(self, direction: np.ndarray, bias: float, curve: np.ndarray):
-        self.direction, self.bias, self.curve = direction, bias, curve
+    def __init__(self, direction: np.ndarray, bias: float, curves: list[tuple[np.ndarray, np.ndarray]]):
+        self.direction, self.bias, self.curves = direction, bias, curves
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The sum over landmarks of coefficient times kernel, folded into one vector of the feature space beforehand."""
         rows, keys, weights = kernel_map(words)
         found = np.bincount(rows, weights * self.direction[keys], len(words)) + self.bias
         empty = np.bincount(rows, minlength=len(words)) == 0
-        return np.where(empty, -1.0, np.clip(found, -2.0, 2.0))
-
-    def scores(self, top: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(top @ self.curve[:-1] + self.curve[-1], -30, 30)))
+        return np.where(empty, -2.0, np.clip(found, -2.0, 4.0))
 
 
 def top_margins(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id and the TOP largest word margins of each whole text, in falling order; -1 where a text has fewer words."""
+    """doc_id and the largest sentence margins of each whole text at RANKS; -2 where a text has fewer sentences."""
     schema = StructType.fromDDL(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, margins array<double>")
-    shared = docs.sparkSession.sparkContext.broadcast((model.direction, model.bias, model.curve))
+    shared = docs.sparkSession.sparkContext.broadcast((model.direction, model.bias))
 
     def run(batches):
-        known, arrow = ToxicModel(*shared.value), to_arrow_schema(schema)
+        known, arrow = ToxicModel(*shared.value, []), to_arrow_schema(schema)
         margin: dict[str, float] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 128).columns)
-                tokens = [units(t) for t in texts]
+                split = [sentences(t) for t in texts]
                 if len(margin) > REMEMBERED:
                     margin.clear()
-                new = list(set().union(*tokens).difference(margin))
+                new = list({w for some in split for s in some for w in s}.difference(margin))
                 for k in range(0, len(new), 16_384):
                     margin.update(zip(new[k : k + 16_384], known.margins(new[k : k + 16_384]).tolist()))
-                tops = [nlargest(TOP, map(margin.__getitem__, t)) for t in tokens]
-                rows = [(i, t + [-1.0] * (TOP - len(t))) for i, t in zip(ids, tops)]
+                tops = [nlargest(RANKS[-1], (max(map(margin.__getitem__, s)) for s in some)) for some in split]
+                rows = [(i, [t[k - 1] if k <= len(t) else -2.0 for k in RANKS]) for i, t in zip(ids, tops)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -162,92 +186,112 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # 2 x FIT_DOCS ids at most
 
 
-def word_contexts(sample: DataFrame) -> DataFrame:
-    """word, toxic and clean: in how many different contexts (words before it) each class has the word.
+def labelled_sentences(sample: DataFrame) -> dict[int, tuple[list[list[str]], float]]:
+    """For each class its sentences and how many sentences of the sample each stands for; those with the least hash if there are more than the bound.
 
-    Sentences that copies share are one context, so a copied text's rare words gain no weight.
+    A sentence that several documents share is one.
     """
-    # A column of its own: inside the lambda it would be split again for every word.
-    tokens = sample.select("toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 1).alias("tokens"))
-    pairs = F.transform("tokens", lambda w, i: F.struct(F.when(i > 0, F.get("tokens", i - 1)).otherwise("").alias("before"), w.alias("word")))
-    seen = tokens.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.before", "p.word").distinct()
-    return seen.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    found = map_rows(sample.select("toxic", "text"), lambda: lambda y, t: [(y, " ".join(w for w in s if len(w) <= LETTERS)) for s in sentences(t)], "toxic int, sentence string")
+    found = saved(found.distinct())
+    sizes = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    out = {}
+    for label, most in ((1, TOXIC_SENTENCES), (0, CLEAN_SENTENCES)):
+        rows = found.filter(F.col("toxic") == label).select("sentence").orderBy(F.xxhash64("sentence"), "sentence").limit(most).collect()
+        out[label] = [r.sentence.split() for r in rows if r.sentence], max(1.0, sizes.get(label, 0) / max(len(rows), 1))
+    return out
 
 
-def with_stems(words: DataFrame) -> DataFrame:
-    """``words`` with a row for each beginning of four to six letters, and for the whole word (marked by $)."""
-    stems = F.array(F.concat("word", F.lit("$")), *[F.when(F.length("word") > n, F.left("word", F.lit(n))) for n in (4, 5, 6)])
-    return words.withColumn("stem", F.explode(F.array_compact(stems)))
+def disguised(word: str, some: np.random.Generator) -> list[str]:
+    """The word as it may hide: with a letter put in, with another, and with one of its own twice."""
+    at = some.integers(1, max(2, len(word)), 3)
+    letters = [chr(97 + k) for k in some.integers(0, 26, 2)]
+    return [word[:i] + c + word[i:] for i, c in zip(at, [*letters, word[at[2] - 1 : at[2]]])]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Learns from labelled documents, of which a bounded sample is taken.
+    """Learns from the sentences of a bounded sample of labelled documents; without both classes every score is 0.
 
-    Words and beginnings of words that toxic sentences have in many contexts
-    and clean ones hardly ever give the positive examples and landmarks, with
-    landmarks from common clean words beside them; clean words near the border are added in a second
-    round. The score's curve is a logistic fit of the sample's top margins.
+    Landmarks are words that toxic sentences have more often than clean ones,
+    and common clean words; they only span the space, the labels come from the
+    sentences. Words found insulting also count as :func:`disguised`.
     """
     sample = saved(labelled_sample(docs, labels))
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    flat = ToxicModel(np.zeros(DIMENSIONS, np.float32), -1.0, np.array([0.0] * TOP + [-3.0]))
-    if not sizes.get(1) or not sizes.get(0):
-        return flat
-    words = saved(word_contexts(sample))
-    ratio, support = sizes[1] / sizes[0], max(4.0, SUPPORT * sizes[1])
-    stems = with_stems(words).groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    marked = saved(stems.filter((F.col("t") >= support) & (F.col("t") >= 12 * ratio * (F.col("c") + 0.1))).orderBy(F.desc("t"), "stem").limit(STEMS).select("stem"))
-    insulting = with_stems(words.filter("toxic > 0")).join(F.broadcast(marked), "stem", "left_semi").select("word", "toxic").distinct()
-    insults = [r.word for r in insulting.orderBy(F.desc("toxic"), "word").limit(4 * LANDMARKS).collect()]
-    bad = set(insults)
-    common = words.filter("clean > 0").orderBy(F.desc("clean"), "word").limit(CLEAN_WORDS + 4 * LANDMARKS).collect()
-    clean = [r.word for r in common if r.word not in bad][:CLEAN_WORDS]
-    if not insults or not clean:
+    flat = ToxicModel(np.zeros(DIMENSIONS, np.float32), -1.0, [(np.array([-2.0]), np.array([0.0]))] * len(RANKS))
+    found = labelled_sentences(sample)
+    (toxic, toxic_weight), (clean, clean_weight) = found[1], found[0]
+    if not toxic or not clean:
         return flat
-    marks = insults[:LANDMARKS] + clean[: LANDMARKS // 4]
-    landmarks = dense(marks)
-    among = landmarks @ landmarks.T
-    values, vectors = np.linalg.eigh(among.astype(np.float64))
-    keep = values > 1e-4
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    positive = kernel(insults, landmarks) @ root
-    used = clean[:6_000]
-    for _ in range(3):
-        x = np.vstack([positive, kernel(used, landmarks) @ root])
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(used))])
-        w, bias = fit_svm(x, y, np.where(y > 0, max(1.0, len(used) / len(positive) / 4), 1.0))
-        model = ToxicModel((landmarks.T @ (root @ w)).astype(np.float32), bias, flat.curve)
-        margins = np.concatenate([model.margins(clean[k : k + 4_096]) for k in range(0, len(clean), 4_096)])
-        hard = np.argsort(-margins)[:2_000]
-        used = list(dict.fromkeys(used + [clean[i] for i in hard if margins[i] > -0.8]))
+    t, c = (Counter(w for s in some for w in set(s)) for some in (toxic, clean))
+    words = sorted(t.keys() | c.keys())
+    index = {w: i for i, w in enumerate(words)}
+    in_toxic, in_clean = (np.array([n[w] for w in words], float) for n in (t, c))
+    more = np.where([len(_NOT_LETTER.sub("", w)) > 1 for w in words], in_toxic - 2 * len(toxic) / len(clean) * in_clean, -np.inf)
+    marks = [words[i] for i in np.argsort(-more, kind="stable")[: 3 * LANDMARKS // 4]] + [words[i] for i in np.argsort(-in_clean, kind="stable")[: LANDMARKS // 4]]
+    landmarks = dense(list(dict.fromkeys(marks)))
+    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
+    space = lambda some: (kernel(some, landmarks) @ root).astype(np.float32)
+    x = np.concatenate([space(words[k : k + 8_192]) for k in range(0, len(words), 8_192)])
+    width = max(map(len, toxic))
+    bags = np.array([[index[w] for w in s] + [len(words)] * (width - len(s)) for s in toxic])
+    negative, insults, some = in_clean > 0, in_toxic, np.random.default_rng(7)
+    margin = np.ones(len(words) + 1)
+    for step in range(ROUNDS):
+        who = np.flatnonzero(insults)
+        known = [x[who]]
+        weights, goals = [insults[who] * toxic_weight], [np.ones(len(who))]
+        if step and len(who):
+            # In disguise a word shall stand nearly as far out as plain.
+            hidden = [(v, n, min(margin[i], HIDDEN_GOAL)) for i, n in zip(who, weights[0]) for v in disguised(words[i], some)]
+            known.append(space([v for v, _, _ in hidden]))
+            weights.append(np.array([n for _, n, _ in hidden]))
+            goals.append(np.array([g for _, _, g in hidden]))
+        known.append(x[negative])
+        goals.append(-np.ones(len(known[-1])))
+        # In the first round nearly all that is called an insult is none, so the classes are held in balance.
+        weights.append(in_clean[negative] * (clean_weight if step else 3 * weights[0].sum() / in_clean.sum()))
+        w, bias = fit_svm(np.concatenate(known), np.concatenate(goals), np.concatenate(weights), COSTS[step > 0])
+        margin = np.append(x @ w + bias, -2.0)
+        # The first boundary lies where hardly a clean word is; from then on it is the machine's own.
+        border = 0.0 if step else max(float(np.quantile(np.repeat(margin[:-1][negative], in_clean[negative].astype(int)), 0.9995)), -0.5)
+        insults = np.bincount(bags[margin[bags] > border], minlength=len(words) + 1)[: len(words)].astype(float)
+        if not insults.any():
+            return flat
+    model = ToxicModel((landmarks.T @ (root @ w)).astype(np.float32), bias, flat.curves)
     tops = top_margins(sample, model).join(sample.select("doc_id", "toxic"), "doc_id").toPandas()  # 2 x FIT_DOCS rows at most
-    model.curve = logistic(np.stack(tops["margins"].to_numpy()), tops["toxic"].to_numpy(float))
+    margins, toxic_docs = np.stack(tops["margins"].to_numpy()), tops["toxic"].to_numpy(float)
+    model.curves = [rising_share(m, toxic_docs) for m in margins.T]
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression with a small ridge, both classes weighing the same."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + ridge * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def rising_share(margin: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of the label on the margin: where each step begins, and its share, drawn to the overall one by one text."""
+    at, which = np.unique(margin, return_inverse=True)
+    steps: list[list[float]] = []
+    for m, n, k in zip(at, np.bincount(which), np.bincount(which, toxic)):
+        steps.append([m, n, k])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]:
+            _, n, k = steps.pop()
+            steps[-1][1] += n
+            steps[-1][2] += k
+    share = [(k + toxic.mean()) / (n + 1) for _, n, k in steps]
+    return np.array([m for m, _, _ in steps]), np.maximum.accumulate(share)
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (score >= 0.7) of every row; only ``text`` is looked at.
+    """doc_id, score (0 to 1), predicted (score >= 0.7) and top_margin of every row; only ``text`` is looked at.
 
-    A null or empty text has a low score. Repeated rows stay repeated, other
-    columns are ignored, an empty table gives no rows. Texts are whole.
+    A null or empty text, or one without letters, has a low score. Repeated
+    rows stay repeated, other columns are ignored, an empty table gives no
+    rows. Texts are whole.
     """
     margins = F.col("margins")
-    line = sum((F.lit(float(c)) * margins[i] for i, c in enumerate(model.curve[:-1])), F.lit(float(model.curve[-1])))
-    found = top_margins(docs, model).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0)))))
-    return found.select("doc_id", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), margins[0].alias("top_margin"))
+
+    def share(rank: int, at: np.ndarray, shares: np.ndarray):
+        steps = F.array(*[F.lit(float(x)) for x in at])
+        reached = F.size(F.filter(steps, lambda x: x <= margins[rank]))
+        return F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in shares]), reached - 1), F.lit(0.0))
+
+    found = F.greatest(*[share(i, *curve) for i, curve in enumerate(model.curves)])
+    scored = top_margins(docs, model).withColumn("score", found)
+    return scored.select("doc_id", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), margins[0].alias("top_margin"))
