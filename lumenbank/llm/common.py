@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lumenbank.sources.storage import saved
 
-__all__ = ["map_rows", "saved", "small_side", "table", "training_half"]
+__all__ = ["key_of", "map_rows", "saved", "small_side", "table", "training_half"]
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +56,17 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
 def training_half(doc_id) -> F.Column:
     """True for documents that models may learn from: crc32 of the id's text, mod 3, isn't 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
+
+
+def key_of(df: DataFrame, columns: list[str] | None = None) -> F.Column:
+    """128 bits of a row's values in ``columns`` (all of them if None); rows alike in them, nulls included, have one key.
+
+    Stages use it to say which rows go: a doc_id may be null, or stand on several rows.
+    """
+    parts = []
+    for c in columns or df.columns:
+        kind = df.schema[c].dataType.simpleString()
+        value = F.col(f"`{c}`")
+        # Maps and variants have no hash.
+        parts += [F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value, F.isnull(value)]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("b"))

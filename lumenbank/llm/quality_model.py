@@ -10,12 +10,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbank.llm.common import WORD, map_rows, saved, small_side
+from lumenbank.llm.common import WORD, key_of, map_rows, saved, small_side
 
-#: Labelled documents that the document classifier is fitted on at most.
+#: Labelled documents that the document classifier, and then the weights of the site evidence, are fitted on at most.
 FIT_ROWS = 8_000
-#: How far site evidence may move a document's log odds, and rows of the site table that are broadcast.
-SITE_WEIGHT, SITE_ROWS = 0.5, 500_000
+#: Rows of the site table that are broadcast.
+SITE_ROWS = 500_000
 #: Share of good documents where labels give none.
 DEFAULT_GOOD = 0.85
 
@@ -80,58 +80,114 @@ def fit_documents(rows: DataFrame) -> Column:
     return sum((F.lit(float(c)) * F.col("features")[i] for i, c in enumerate(model.coefficients)), F.lit(float(model.intercept)))
 
 
-def site_posteriors(rows: DataFrame) -> DataFrame:
-    """host, path, host_good, path_good from (host, path, good): shares of good documents, shrunk twice.
+def site_of(docs: DataFrame, source: str, section: str) -> tuple[Column, Column]:
+    """Host and path of a document's ``source``: what stands before the first slash, and the first part of the path after it.
 
-    Paths are counted once and hosts summed from them. A host's share is drawn
-    to the global one, a path's to its host's; how strongly comes from the
-    spread of the shares themselves (method of moments), so sites with few
-    documents stay near what is above them. A host with a third of all rows is
-    pre-aggregated in each task.
+    A source without a path has ``section`` (the language) as its path, as
+    sites keep their languages apart. Nulls and missing columns are empty.
     """
-    paths = saved(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("k")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    rest = F.regexp_replace(value(source), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    path = F.regexp_extract(rest, "^[^/?#]*/([^/?#]+)", 1)
+    return F.lower(F.regexp_extract(rest, "^[^/?#]*", 0)), F.when(path != "", path).otherwise(value(section))
 
-    def strength(n: str, k: str) -> Column:
-        """The weight of the level above in documents, from the variance between shares beyond chance."""
+
+def site_counts(rows: DataFrame) -> DataFrame:
+    """host, path, and of their labelled rows (host, path, quality) the number and the good ones: path_n, path_k, host_n, host_k.
+
+    With them go global_good and how many documents the level above weighs in
+    each share: host_weight and path_weight, by the method of moments from the
+    spread of the shares beyond chance. Paths are counted once, in each task
+    first, so a host with a third of all rows is no hot group; hosts are
+    summed from them.
+    """
+    paths = saved(rows.filter("quality IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("quality").cast("double").alias("path_k")))
+    hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_k").alias("host_k"))
+
+    def weight(n: str, k: str) -> Column:
         mean = F.sum(k) / F.sum(n)
         spread = F.sum(F.col(k) * F.col(k) / F.col(n)) / F.sum(n) - mean * mean
         chance = mean * (1 - mean) * F.count("*") / F.sum(n)
-        return F.greatest(F.least(mean * (1 - mean) / F.greatest(spread - chance, F.lit(1e-6)), F.lit(1e4)), F.lit(5.0))
+        return F.greatest(F.least(mean * (1 - mean) / F.greatest(spread - chance, F.lit(1e-6)), F.lit(1e4)), F.lit(1.0))
 
     # One row each, joined by broadcast.
-    over_hosts = hosts.agg((F.sum("host_k") / F.sum("host_n")).alias("global_good"), strength("host_n", "host_k").alias("host_weight"))
-    over_paths = paths.agg(strength("n", "k").alias("path_weight"))
-    shrunk = hosts.join(F.broadcast(over_hosts)).withColumn("host_good", (F.col("host_k") + F.col("host_weight") * F.col("global_good")) / (F.col("host_n") + F.col("host_weight")))
-    found = paths.join(shrunk, "host").join(F.broadcast(over_paths))
-    return found.select("host", "path", "global_good", "host_good", ((F.col("k") + F.col("path_weight") * F.col("host_good")) / (F.col("n") + F.col("path_weight"))).alias("path_good"))
+    over_hosts = hosts.agg((F.sum("host_k") / F.sum("host_n")).alias("global_good"), weight("host_n", "host_k").alias("host_weight"))
+    over_paths = paths.agg(weight("path_n", "path_k").alias("path_weight"))
+    return paths.join(hosts, "host").crossJoin(F.broadcast(over_hosts)).crossJoin(F.broadcast(over_paths))
+
+
+def posteriors(own: Column) -> tuple[Column, Column]:
+    """host_good and path_good over :func:`site_counts`: shares of good documents, a path's drawn to its host's and that to the global one.
+
+    ``own`` is a row's own label, which is taken out of the counts again; null for rows without one.
+    """
+    left = lambda n: F.greatest(F.coalesce(F.col(n), F.lit(0)) - F.when(own.isNull(), 0).otherwise(1), F.lit(0))
+    good = lambda k: F.greatest(F.coalesce(F.col(k), F.lit(0.0)) - F.coalesce(own.cast("double"), F.lit(0.0)), F.lit(0.0))
+    host = (good("host_k") + F.col("host_weight") * F.col("global_good")) / (left("host_n") + F.col("host_weight"))
+    path = (good("path_k") + F.col("path_weight") * host) / (left("path_n") + F.col("path_weight"))
+    return host, path
+
 
+def fit_weights(rows: DataFrame) -> tuple[float, float, float, float]:
+    """Weights of the document's odds, the host's evidence and the path's, and the constant, from labelled rows (odds, host_evidence, path_evidence, quality).
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    A logistic regression; evidence that points the other way weighs nothing.
+    """
+    some = rows.filter(F.col("quality").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "odds").limit(FIT_ROWS)
+    names = ["odds", "host_evidence", "path_evidence"]
+    frame = saved(some.select(*names, F.col("quality").cast("double").alias("label")))
+    if frame.select("label").distinct().count() < 2:
+        return 1.0, 1.0, 1.0, 0.0
+    model = LogisticRegression(featuresCol="vector", regParam=1e-3, maxIter=60).fit(VectorAssembler(inputCols=names, outputCol="vector").transform(frame))
+    own, host, path = (float(c) for c in model.coefficients)
+    return max(own, 1e-3), max(host, 0.0), max(path, 0.0), float(model.intercept)
+
+
+def judged(docs: DataFrame, labels: DataFrame, source: str = "source", section: str = "lang") -> DataFrame:
+    """:func:`classify` with the key of each row, in ``key_a`` and ``key_b``."""
+    host, path = site_of(docs, source, section)
+    key = key_of(docs, [c for c in ("doc_id", "text", source, section) if c in docs.columns])
+    rows = docs.select(key.alias("key"), "doc_id", host.alias("host"), path.alias("path"), "text").select("key.a", "key.b", "doc_id", "host", "path", "text").withColumnsRenamed({"a": "key_a", "b": "key_b"})
+    taught = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    found = saved(with_features(rows, ["key_a", "key_b", "doc_id", "host", "path"]).join(taught, "doc_id", "left"))
+    scored = found.withColumns({"odds": fit_documents(found), "has_words": F.col("features")[FEATURES.index("log_words")] > 0}).drop("features")
+    sites = saved(site_counts(scored))
+    overall = sites.select("global_good", "host_weight", "path_weight").limit(1)
+    # Every row has the totals; sites without a label have no counts.
+    joined = scored.join(small_side(sites.drop("global_good", "host_weight", "path_weight", "host_n", "host_k"), SITE_ROWS), ["host", "path"], "left")
+    joined = joined.join(small_side(saved(sites.select("host", "host_n", "host_k").distinct()), SITE_ROWS), "host", "left").join(F.broadcast(overall), how="left")
+    host_good, path_good = posteriors(F.col("quality"))
+    joined = joined.withColumns({"host_good": F.coalesce(host_good, F.lit(DEFAULT_GOOD)), "path_good": F.coalesce(path_good, F.lit(DEFAULT_GOOD))})
+    evidence = {"host_evidence": log_odds(F.col("host_good")) - log_odds(F.coalesce("global_good", F.lit(DEFAULT_GOOD))), "path_evidence": log_odds(F.col("path_good")) - log_odds(F.col("host_good"))}
+    joined = saved(joined.withColumns(evidence))
+    own, of_host, of_path, constant = fit_weights(joined)
+    total = F.lit(own) * F.col("odds") + F.lit(of_host) * F.col("host_evidence") + F.lit(of_path) * F.col("path_evidence") + F.lit(constant)
+    sure = lambda x: 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(500.0)), F.lit(-500.0))))
+    score = sure(total)
+    return joined.select("key_a", "key_b", "doc_id", sure(F.col("odds")).alias("document_score"), "host_good", "path_good", score.alias("score"), ((score >= 0.5) & F.col("has_words")).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, source: str = "source", section: str = "lang") -> DataFrame:
     """doc_id, document_score, host_good, path_good, score and kept of every row of ``docs``.
 
     ``labels`` has doc_id and quality, and teaches both levels; pass training
-    labels only. The score's log odds are the document's own plus, within
-    SITE_WEIGHT, what its path's share of good documents adds to the global
-    one. A null host or path is a site of its own; a text without words is
-    rejected. Repeated rows stay repeated, and extra columns are ignored. An
-    empty table gives no rows, and without labels the document's score is flat.
+    labels only. The score's log odds are the document's own, and what the
+    posteriors of its host and path add to the share above them, each with a
+    weight that the labels give. A labelled row's own label is in neither of
+    its posteriors. A null host or path is a site of its own; a text without
+    words is rejected. Repeated rows stay repeated, null ids have no label,
+    and extra columns are ignored. An empty table gives no rows, and without
+    labels the document's score is flat.
     """
-    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    rows = docs.select("doc_id", site(host).alias("host"), site(path).alias("path"), "text")
-    taught = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    found = saved(with_features(rows, ["doc_id", "host", "path"]).join(taught, "doc_id", "left"))
-    odds = fit_documents(found)
-    scored = found.select("doc_id", "host", "path", "quality", odds.alias("odds"), (F.col("features")[FEATURES.index("log_words")] > 0).alias("has_words"))
-    scored = scored.withColumn("document_score", 1 / (1 + F.exp(-F.col("odds"))))
-    sites = saved(site_posteriors(scored.select("host", "path", F.coalesce(F.col("quality").cast("double"), "document_score").alias("good"))))
-    joined = scored.join(small_side(sites, SITE_ROWS), ["host", "path"], "left")
-    site_odds = log_odds(F.coalesce("path_good", F.lit(DEFAULT_GOOD))) - log_odds(F.coalesce("global_good", F.lit(DEFAULT_GOOD)))
-    score = 1 / (1 + F.exp(-(F.col("odds") + F.lit(SITE_WEIGHT) * site_odds)))
-    return joined.select("doc_id", "document_score", "host_good", "path_good", score.alias("score"), ((score >= 0.5) & F.col("has_words")).alias("kept"))
+    return judged(docs, labels, source, section).drop("key_a", "key_b")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, with all their columns."""
-    gone = saved(classify(docs, labels).filter(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small_side(gone, 2_000_000), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that :func:`classify` keeps, with all their columns.
+
+    Rows go by what they hold, not by their id: of two rows with one doc_id, or
+    none, each has its own verdict; rows alike in all that counts have the same.
+    """
+    gone = saved(judged(docs, labels).filter(~F.col("kept")).select(F.struct(F.col("key_a").alias("a"), F.col("key_b").alias("b")).alias("_key")).distinct())
+    keyed = docs.withColumn("_key", key_of(docs, [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]))
+    return keyed.join(small_side(gone, 2_000_000), "_key", "left_anti").select(docs.columns)

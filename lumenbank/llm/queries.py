@@ -102,8 +102,10 @@ ORACLES: dict[str, str] = {
             SELECT doc_id AS id, row_number() OVER () AS row, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
         ), i AS (
             SELECT item_id AS id, row_number() OVER () AS row, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+        ), l AS (
+            SELECT DISTINCT least(len(w), 5) AS n FROM i WHERE len(w) > 0
         ), ds AS (
-            SELECT DISTINCT id, row, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+            SELECT DISTINCT id, row, unnest(CASE WHEN len(w) >= n THEN list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' ')) ELSE [] END) AS s FROM d, l
         ), si AS (
             SELECT DISTINCT id, row, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i
         ), n AS (SELECT row, count(*) AS n_item FROM si GROUP BY row)

@@ -7,12 +7,12 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lumenbank.llm.common import map_rows, saved, small_side
+from lumenbank.llm.common import key_of, map_rows, saved, small_side
 from lumenbank.llm.graph import components
 
 SEED = 42
@@ -86,20 +86,25 @@ def least_unlike(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, ``node`` (the key of its shingle set), the set's ``size``, ``prefix`` and ``parity``."""
+    """doc_id, the row's key (``a``, ``b``), its text's hash ``t``, ``node`` (the key of its shingle set), the set's ``size``, ``prefix`` and ``parity``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def make():
         common, counts = shared.value
 
-        def one(i, text):
+        def one(i, a, b, t, text):
             hashes = shingle_set(text)
-            return [(i, set_key(hashes), len(hashes), prefix(hashes, common, counts), parities(hashes))]
+            return [(i, a, b, t, set_key(hashes), len(hashes), prefix(hashes, common, counts), parities(hashes))]
 
         return one
 
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, node long, size int, prefix array<long>, parity binary")
+    rows = docs.select("doc_id", key_of(docs).alias("key"), text_hash().alias("t"), "text").select("doc_id", "key.a", "key.b", "t", "text")
+    return map_rows(rows, make, f"doc_id {kind}, a long, b long, t long, node long, size int, prefix array<long>, parity binary")
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def near_copies(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -112,8 +117,8 @@ def near_copies(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFram
     pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(9 * least_unlike("x", "y") <= F.col("x_size") + F.col("y_size"))
     pairs = saved(pairs.select("a", "b"))
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = saved(nodes.join(asked, "node", "left_semi").select(F.col("least").alias("id")).distinct())
-    texts = docs.select("doc_id", "text").join(small_side(ids, 2_000_000), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    held = saved(nodes.join(asked, "node", "left_semi").select("t").distinct())
+    texts = docs.select(text_hash().alias("t"), "text").join(small_side(held, 2_000_000), "t", "left_semi").dropDuplicates(["t"])
     sets = map_rows(texts.select("text"), lambda: lambda t: [(set_key(h := shingle_set(t)), h)], "node long, hashes array<long>")
     sets = saved(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -146,15 +151,27 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of those reachable over near copies, with all their columns.
+    """One row of ``docs`` for each group of near copies, with all its columns: the one with the least doc_id.
 
-    Equal sets are one node; texts without words have the empty set. Rows with
-    one doc_id are that one document, and null ids are kept.
+    Groups are of rows, so a doc_id may be null, which comes last, or stand on
+    several rows: ties go to the least key of the whole row, and of rows alike
+    in all columns one stays. Equal sets are one node; texts without words
+    have the empty set. An empty table gives no rows.
     """
     found = saved(prefixes(docs))
-    nodes = saved(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "a", "b"))
+    nodes = saved(found.groupBy("node").agg(first.alias("least"), F.count("*").alias("rows"), F.min("t").alias("t"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
     roots = saved(components(links(docs, nodes)))
-    group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    least = group.groupBy("root").agg(F.min("least").alias("component"))
-    gone = found.select("doc_id", "node").join(group.join(least, "root").select("node", "component"), "node").filter(F.col("doc_id") != F.col("component"))
-    return docs.join(small_side(saved(gone.select("doc_id").distinct()), 2_000_000), "doc_id", "left_anti").select(docs.columns)
+    group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "rows")
+    least = saved(group.groupBy("root").agg(F.min("least").alias("kept"), F.sum("rows").alias("rows")).filter("rows > 1"))
+    of_group = group.join(least.select("root", "kept"), "root").select("node", "kept")
+    alike = saved(found.select("node", "a", "b").join(of_group, "node").groupBy("a", "b", (F.col("a") == F.col("kept.a")).alias("same_a"), (F.col("b") == F.col("kept.b")).alias("same_b")).agg(F.count("*").alias("n")))
+    key = F.struct("a", "b").alias("_key")
+    gone = saved(alike.filter("NOT (same_a AND same_b)").select(key))
+    again = saved(alike.filter("same_a AND same_b AND n > 1").select(key))
+    keyed = docs.withColumn("_key", key_of(docs))
+    stay = keyed.join(small_side(gone, 2_000_000), "_key", "left_anti")
+    if again.isEmpty():
+        return stay.select(docs.columns)
+    once = small_side(again, 2_000_000)
+    return stay.join(once, "_key", "left_anti").unionByName(stay.join(once, "_key", "left_semi").dropDuplicates(["_key"])).select(docs.columns)

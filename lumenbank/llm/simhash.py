@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
 
     Equal fingerprints are one node, so copies cost a row each and no pair.
     A null or empty text has no words and fingerprint zero, and is linked like
-    any other. Rows with one doc_id are that one document. Null ids keep a
+    any other. Texts are linked, not ids: rows that share a doc_id may stand in
+    different components, each named by the least doc_id there. Null ids keep a
     null component unless they reach another. Other columns are ignored; an
     empty table gives no rows. Fingerprints are saved once, since three steps
     read them; texts are read once and never shuffled.

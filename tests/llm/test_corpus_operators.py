@@ -283,14 +283,16 @@ def test_decontamination_matches_brute_force(spark):
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, hash int")
     got = sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contaminated(docs, bench).collect())
 
-    def shingles(t):
+    def shingles(t, n):
         w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+        n = n or min(5, len(w)) or 5
+        return n, {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     want = []
     for d, t, *_ in rows:
         for i, x in items:
-            n, both = len(shingles(x)), len(shingles(x) & shingles(t))
+            length, wanted = shingles(x, None)
+            n, both = len(wanted), len(wanted & shingles(t, length)[1])
             if n and both >= 0.8 * n:
                 want.append((d, i, n, both))
     assert got == sorted(want) and got
