@@ -42,10 +42,36 @@ def test_kneser_ney_sums_to_one(spark):
     kinds = range(language_id.MASK + 1)
     for head in (0, 1, ord("a"), (1 << 15) | ord("b"), (ord("a") << 15) | ord("q")):
         grams = np.array([(head << 15) | k for k in kinds], np.int64)
-        total = np.exp(model.score_grams(grams, language_id.ORDER)).sum(axis=0)
+        total = np.exp(model.arrays.score_grams(grams, language_id.ORDER)).sum(axis=0)
         assert total == pytest.approx([1, 1], abs=2e-3)
 
 
+def test_kneser_ney_of_the_table_sums_to_one(spark):
+    """Every gram of the training texts is kept, so each context's probabilities are whole."""
+    train = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language_id.fit(train)
+    assert model.table.filter(f"n = {language_id.ORDER}").count() == language_id.gram_counts(train).count()
+    heads = [r.context for r in model.table.filter(f"n = {language_id.ORDER}").select("context").distinct().orderBy(F.xxhash64("context")).limit(12).collect()]
+    for head in heads:
+        grams = np.array([(head << 15) | k for k in range(language_id.MASK + 1)], np.int64)
+        assert np.exp(model.arrays.score_grams(grams, language_id.ORDER).astype(float)).sum(axis=0) == pytest.approx([1] * len(model.langs), abs=2e-3)
+
+
+def test_large_models_are_joined(spark, monkeypatch):
+    train = docs_of(spark, [(i, t, "x", "s") for i, t in enumerate(texts(20))] + [(100 + i, t.upper().replace("A", "É"), "y", "s") for i, t in enumerate(texts(20, 5))])
+    asked = docs_of(spark, [(1, None, None, None), (2, "", "x", "s"), (3, "12 ?!", "x", "s"), (4, texts(1)[0] * 50, "y", "s"), (5, "日本語", "y", "s"), (5, "日本語", "y", "s"), (6, texts(1, 9)[0].replace("a", "é"), "y", "s")])
+    rows = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected, round(r.cross_entropy or 0, 3)) for r in language_id.predict(asked, language_id.fit(train)).collect())
+    small = rows()
+    monkeypatch.setattr(language_id, "CELLS", 10)
+    assert rows() == small and len(small) == 7
+
+
+def test_unseen_letters_are_rejected(spark):
+    train = docs_of(spark, [(1, "abba baab cab abba cab", "x", "s"), (2, "bccb acca bccb acca", "y", "s")])
+    asked = docs_of(spark, [(1, "щщщщ жжжж щжщж щщжж", "x", "s"), (2, "abba baab cab", "x", "s")])
+    assert [r.rejected for r in language_id.predict(asked, language_id.fit(train)).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_language_edges(spark):
     train = docs_of(spark, [(i, t, "x", "s") for i, t in enumerate(texts(20))] + [(100 + i, t.upper().replace("A", "É"), "y", "s") for i, t in enumerate(texts(20, 5))])
     model = language_id.fit(train)
