@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lumenbank.llm.common import map_rows
+from lumenbank.llm.common import map_rows, saved
 
 #: Code points of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -113,25 +113,37 @@ def encode_sides(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
     by_row = W.partitionBy("row").orderBy("part")
     met = F.when(F.col("part") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(by_row))))
     found = found.select("row", "doc_id", "part", "last", "text", met.alias("begin"))
-    found = found.withColumns({"end": F.lead("begin").over(by_row), "apart": F.max(F.col("begin").isNull()).over(W.partitionBy("row"))})
+    # Written once: two branches read it, and the rows' numbers must be the same in both.
+    found = saved(found.withColumns({"end": F.lead("begin").over(by_row), "apart": F.max(F.col("begin").isNull()).over(W.partitionBy("row"))}))
     spans = map_rows(found.filter(~F.col("apart")).select("row", "doc_id", "part", "text", "begin", "end"), span, out)
     walked = found.filter("apart").select("row", "doc_id", "part", "last", "text").repartition("row").sortWithinPartitions("row", "part")
     return short, spans.unionByName(walked.mapInArrow(_walk(path, pattern, chunk), out))
 
 
 def _walk(path: str, pattern: str, chunk: int):
+    """Encodes the chunks of a text in order, with the open pre-token carried over.
+
+    While one pre-token goes on over many chunks, it is matched anew only when
+    it has doubled, so that the work stays in proportion to its length.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]):
-        encoding, matcher, carry, now = load_encoding(path, pattern), regex.compile(pattern), "", None
+        encoding, matcher, carry, now, enough = load_encoding(path, pattern), regex.compile(pattern), [], None, 0
         for batch in batches:
+            kinds = pa.schema([("row", pa.int64()), ("doc_id", batch.schema.field(1).type), ("part", pa.int32()), ("ids", pa.list_(pa.int32()))])
             for at in range(batch.num_rows):
                 row, doc, part, last, text = (c[at].as_py() for c in batch.columns)
                 if row != now:
-                    carry, now = "", row
-                open_text = carry + (text if last else text[:chunk])
-                # The last match may grow with what follows; all before it are settled.
-                stop = len(open_text) if last else max((m.start() for m in matcher.finditer(open_text)), default=0)
-                carry = open_text[stop:]
-                yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc], "part": [part], "ids": [encoding.encode_ordinary(open_text[:stop])]}, schema=pa.schema([("row", pa.int64()), ("doc_id", batch.schema.field(1).type), ("part", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+                    carry, now, enough = [], row, 0
+                carry.append(text if last else text[:chunk])
+                ids: list[int] = []
+                if last or sum(map(len, carry)) >= enough:
+                    open_text = "".join(carry)
+                    # The last match may grow with what follows; all before it are settled.
+                    stop = len(open_text) if last else max((m.start() for m in matcher.finditer(open_text)), default=0)
+                    ids, carry = encoding.encode_ordinary(open_text[:stop]), [open_text[stop:]]
+                    enough = 2 * len(carry[0])
+                yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc], "part": [part], "ids": [ids]}, schema=kinds)
 
     return run
 

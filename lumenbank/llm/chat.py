@@ -60,15 +60,24 @@ class Template:
     def unescape(self, text: str) -> str:
         return re.sub(self.unescaping, r"\1\2", text)
 
-    def read(self, turn: str) -> tuple[str, str]:
-        """Role and escaped text of a formatted turn: its marks tell them."""
-        if turn.startswith(self.other_open):
-            role, _, text = turn[len(self.other_open) :].partition(self.other_close)
-            return self.unescape(role), text[: -len(self.other_after)]
-        for role, t in sorted(self.roles.items(), key=lambda x: -len(x[1].before)):
-            if turn.startswith(t.before) and turn.endswith(t.after):
-                return role, turn[len(t.before) : len(turn) - len(t.after)]
-        raise ValueError("not a turn of this template")
+    def next_turn(self, text: str) -> tuple[str, str, int] | None:
+        """Role and text (unescaped) of the turn that ``text`` begins with, and where it ends; None if it isn't whole yet.
+
+        Marks alone tell: texts hold no control string, so the first closing one ends the turn.
+        """
+        role, before, after = None, "", ""
+        if text.startswith(self.other_open):
+            at = text.find(self.other_close)
+            if at < 0:
+                return None
+            role, before, after = self.unescape(text[len(self.other_open) : at]), text[: at + len(self.other_close)], self.other_after
+        else:
+            for name, turn in sorted(self.roles.items(), key=lambda x: -len(x[1].before)):
+                if text.startswith(turn.before):
+                    role, before, after = name, turn.before, turn.after
+                    break
+        end = text.find(after, len(before)) if role is not None else -1
+        return None if end < 0 else (role, self.unescape(text[len(before) : end]), end + len(after))
 
 
 SEGMENTS = "array<struct<text:string,loss:boolean>>"
@@ -100,15 +109,23 @@ def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests per conversation of what :func:`format_turns` gave, read from its segments alone.
+    """Digests per conversation of what :func:`format_turns` gave.
 
-    The rows come grouped and in order, so each digest is fed turn by turn.
+    The segments of a conversation are joined into its formatted text, which is
+    parsed again by its marks as it grows: neither rows nor segments tell where
+    a turn ends. Only the turn that is open is held. What is learned is read
+    from the segments under the loss mask.
     """
     schema = StructType.fromDDL(f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, invalid_turns long")
 
     def run(batches):
         arrow, now, state = to_arrow_schema(schema), object(), None
-        close = lambda: (now, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["invalid"])
+
+        def close():
+            if state["open"]:
+                raise ValueError("a conversation ends within a turn")
+            return now, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["invalid"]
+
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
         for batch in batches:
             done = []
@@ -117,15 +134,18 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                 if conv != now:
                     if state:
                         done.append(close())
-                    now, state = conv, {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "invalid": 0}
-                turn = "".join(s["text"] for s in segments)
-                role, text = template.read(turn)
-                state["turns"].update(f"{role}\n{template.unescape(text)}\n".encode())
+                    now, state = conv, {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "invalid": 0, "open": ""}
+                new = "".join(s["text"] for s in segments)
+                state["open"] += new
+                while turn := template.next_turn(state["open"]):
+                    role, text, end = turn
+                    state["turns"].update(f"{role}\n{text}\n".encode())
+                    state["open"] = state["open"][end:]
+                    state["n"] += 1
                 learned = "".join(template.unescape(s["text"]) for s in segments if s["loss"])
                 state["loss"].update(learned.encode())
                 state["loss_chars"] += len(learned)
-                state["chars"] += len(turn)
-                state["n"] += 1
+                state["chars"] += len(new)
                 state["invalid"] += not valid
             if done:
                 yield pack(done)

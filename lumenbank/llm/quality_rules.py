@@ -17,7 +17,8 @@ WINDOW, CHUNK, LEVEL = 8, 4_096, 3
 
 #: Least and most compressed size as a share of the text, from so many bytes on. Short texts compress little, long ones more.
 BANDS = [(0, 0.0, 9.0), (256, 0.25, 1.0), (1_024, 0.22, 0.9), (4_096, 0.2, 0.85), (16_384, 0.18, 0.8)]
-#: The same for each whole chunk, and the share of chunks outside it that rejects a text.
+#: The same for each chunk of CHUNK bytes, and the share of chunks outside it that rejects a text. A shorter last chunk
+#: is held against the limits of its own length.
 CHUNK_BAND, CHUNK_SHARE = (0.2, 0.85), 0.5
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunks long, chunks_outside long"
@@ -47,15 +48,20 @@ def repeated_words(words: list[str]) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
+def band(size: int) -> tuple[float, float]:
+    """Least and most ratio of a text of so many bytes."""
+    return max(b for b in BANDS if b[0] <= size)[1:]
+
+
 def compression(raw: bytes, compressor) -> tuple[float, int, int]:
-    """Ratio of the whole, number of whole chunks, and how many of them leave CHUNK_BAND."""
+    """Ratio of the whole, number of chunks, and how many of them leave their band."""
     ratio = len(compressor.compress(raw)) / len(raw) if raw else 1.0
-    chunks = len(raw) // CHUNK
     outside = 0
-    for i in range(chunks):
-        r = len(compressor.compress(raw[i * CHUNK : (i + 1) * CHUNK])) / CHUNK
-        outside += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    return ratio, chunks, outside
+    for at in range(0, len(raw), CHUNK):
+        part = raw[at : at + CHUNK]
+        least, most = CHUNK_BAND if len(part) == CHUNK else band(len(part))
+        outside += not least <= len(compressor.compress(part)) / len(part) <= most
+    return ratio, -(-len(raw) // CHUNK), outside
 
 
 def measure(text: str | None, compressor) -> tuple:
@@ -68,13 +74,17 @@ def measure(text: str | None, compressor) -> tuple:
     failed = n < 20 or 100 * repeats > 30 * n
     raw = text.encode("utf-8", "surrogatepass")
     ratio, chunks, outside = compression(raw, compressor)
-    _, least, most = max(b for b in BANDS if b[0] <= len(raw))
+    least, most = band(len(raw))
     good = least <= ratio <= most and outside <= CHUNK_SHARE * chunks
     return n, sum(map(len, words)), sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeats, failed, not failed and good, ratio, chunks, outside
 
 
 def measure_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and the MEASURES of every row of ``docs``; no shuffle, no text is cut, other columns are ignored."""
+    """doc_id and the MEASURES of every row of ``docs``; no shuffle, no text is cut, other columns are ignored.
+
+    A null or empty text has no words and is not kept. Null and repeated ids
+    stay as they are; an empty table gives no rows.
+    """
 
     def make():
         compressor = zstandard.ZstdCompressor(level=LEVEL)
@@ -84,7 +94,11 @@ def measure_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; the same rules, one pass and no join."""
+    """The rows of ``docs`` that the rules keep, with all their columns; the same rules, one pass and no join.
+
+    Each row is judged by its own text: ids may be null or repeated, and equal
+    rows stay or go together. An empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches):

@@ -7,6 +7,7 @@ import re
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -80,8 +81,6 @@ def slow_measures(text):
 
 @given(st.one_of(st.none(), st.lists(st.sampled_from(["a", "b b", "\n", "c#", "é\n", " ", "\t|", "a b c d e f g h"]), max_size=60).map(" ".join)))
 def test_quality_measures(text):
-    import zstandard
-
     got = quality_rules.measure(text, zstandard.ZstdCompressor(level=3))
     assert got[:5] == slow_measures(text)
     assert got[5] == (got[0] < 20 or 100 * got[4] > 30 * got[0])
@@ -190,3 +189,26 @@ def test_url_trees_tell_spam(spark):
     model = url_filter.UrlModel.fit(url_filter.labelled_urls(spark), trees=10)
     urls = spark.createDataFrame([(0, "http://www.cheap-pills.example.org/de/3"), (1, "http://m.free-bets.example.org/en/27#top"), (2, "http://thther.example.org/en/217?page=2&ref=x"), (3, "http://blog.tiontion.example.org/de/180/")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judge(urls, model).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    """Bands over whole texts and every chunk, the last one too, by a plain loop over the table."""
+    compressor = zstandard.ZstdCompressor(level=3)
+    limits = [(16_384, 0.18, 0.8), (4_096, 0.2, 0.85), (1_024, 0.22, 0.9), (256, 0.25, 1.0), (0, 0.0, 9.0)]
+    noise = "".join(chr(33 + (i * i * 7919 + i // 3) % 90) for i in range(4_096))
+    plain = " ".join(f"word{i * 37 % 1009} and{i}" for i in range(600))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, plain[:4_096] + "x" * 3_000), (-2, plain[:8_000]), (-3, noise + plain[:300]), (-4, None)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in quality_rules.measure_documents(docs).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        inside = lambda part, whole: next(low <= len(compressor.compress(part)) / max(len(part), 1) <= high for least, low, high in ([(0, 0.2, 0.85)] if whole else limits) if len(part) >= least)
+        parts = [raw[k : k + 4_096] for k in range(0, len(raw), 4_096)]
+        bad = sum(not inside(p, len(p) == 4_096) for p in parts)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and inside(raw, False) and 2 * bad <= len(parts))
+
+
+def test_one_pre_token_over_many_chunks(spark):
+    text = "start " + "a" * 40_000 + " end " + " " * 9_000 + "x"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = byte_bpe.token_digests(docs, PATH, PATTERN, 500, 50).first()
+    assert got.n_tokens == len(byte_bpe.load_encoding(PATH, PATTERN).encode_ordinary(text))
