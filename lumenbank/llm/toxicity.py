@@ -28,7 +28,7 @@ SPAN, DECAY, DIMENSIONS = 6, 0.7, 1 << 16
 #: The bound of what a fit learns from: labelled documents of each class, and of their sentences toxic and clean ones.
 FIT_DOCS, TOXIC_SENTENCES, CLEAN_SENTENCES = 4_000, 10_000, 20_000
 #: Landmarks of the kernel, cost of a margin below one in the first round and later, and rounds.
-LANDMARKS, COSTS, ROUNDS = 480, (0.2, 20.0), 4
+LANDMARKS, COSTS, ROUNDS = 480, (0.2, 10.0), 4
 #: The most that the margin of a disguised insult is raised to.
 HIDDEN_GOAL = 3.0
 #: Words of a sentence; a longer one counts as several. Letters of a word that is learned from.
@@ -98,42 +98,46 @@ def kernel_map(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dense(words: list[str]) -> np.ndarray:
+    """The feature space's rows of words, as columns."""
     rows, keys, weights = kernel_map(words)
-    out = np.zeros((len(words), DIMENSIONS), np.float32)
-    out[rows, keys] = weights
+    out = np.zeros((DIMENSIONS, len(words)), np.float32)
+    out[keys, rows] = weights
     return out
 
 
 def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values between words and the landmarks' dense rows."""
-    out = np.zeros((len(words), len(landmarks)))
-    columns = landmarks.T.copy()
+    """Kernel values between words and the landmarks of :func:`dense`."""
+    out = np.zeros((len(words), landmarks.shape[1]), np.float32)
     for at in range(0, len(words), 4_096):
         rows, keys, weights = kernel_map(words[at : at + 4_096])
         if not len(rows):
             continue
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        for block in range(0, len(starts), 256):
-            a, b = starts[block], starts[block + 256] if block + 256 < len(starts) else len(rows)
-            values = columns[keys[a:b]] * weights[a:b, None]
-            out[at + rows[starts[block : block + 256]]] = np.add.reduceat(values, starts[block : block + 256] - a, axis=0)
+        for block in range(0, len(starts), 128):
+            a, b = starts[block], starts[block + 128] if block + 128 < len(starts) else len(rows)
+            values = landmarks[keys[a:b]] * weights[a:b, None].astype(np.float32)
+            out[at + rows[starts[block : block + 128]]] = np.add.reduceat(values, starts[block : block + 128] - a, axis=0)
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss by Newton steps, in blocks of rows; ``y`` is the margin that a row should reach, with its sign."""
-    n = x.shape[1]
+def fit_svm(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], cost: float, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss by Newton steps, in blocks of rows.
+
+    A part has a matrix, which of its rows count, the margin that each should reach, with its sign, and their weights.
+    """
+    n = parts[0][0].shape[1]
     w, ridge = np.zeros(n + 1), np.eye(n + 1)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         curve, slope = ridge.copy(), np.zeros(n + 1)
-        for k in range(0, len(x), 8_192):
-            z, goal = x[k : k + 8_192], y[k : k + 8_192]
-            active = np.sign(goal) * (z @ w[:-1].astype(np.float32) + w[-1]) < np.abs(goal)
-            z = np.hstack([z[active], np.ones((int(active.sum()), 1), np.float32)])
-            za = z * (2 * cost * weight[k : k + 8_192][active, None]).astype(np.float32)
-            curve += za.T @ z
-            slope += za.T @ goal[active].astype(np.float32)
+        for x, which, goals, weights in parts:
+            for k in range(0, len(which), 8_192):
+                z, goal = x[which[k : k + 8_192]].astype(np.float32), goals[k : k + 8_192]
+                active = np.sign(goal) * (z @ w[:-1].astype(np.float32) + w[-1]) < np.abs(goal)
+                z = np.hstack([z[active], np.ones((int(active.sum()), 1), np.float32)])
+                za = z * (2 * cost * weights[k : k + 8_192][active, None]).astype(np.float32)
+                curve += za.T @ z
+                slope += za.T @ goal[active].astype(np.float32)
         step = np.linalg.solve(curve, slope)
         if np.abs(step - w).max() < 1e-4:
             break
@@ -228,36 +232,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     more = np.where([len(_NOT_LETTER.sub("", w)) > 1 for w in words], in_toxic - 2 * len(toxic) / len(clean) * in_clean, -np.inf)
     marks = [words[i] for i in np.argsort(-more, kind="stable")[: 3 * LANDMARKS // 4]] + [words[i] for i in np.argsort(-in_clean, kind="stable")[: LANDMARKS // 4]]
     landmarks = dense(list(dict.fromkeys(marks)))
-    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
-    root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
-    space = lambda some: (kernel(some, landmarks) @ root).astype(np.float32)
-    x = np.concatenate([space(words[k : k + 8_192]) for k in range(0, len(words), 8_192)])
+    values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
+    root = (vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])).astype(np.float32)
+    x = np.empty((len(words), root.shape[1]), np.float16)  # the words in the space of the landmarks
+    for k in range(0, len(words), 8_192):
+        x[k : k + 8_192] = kernel(words[k : k + 8_192], landmarks) @ root
     width = max(map(len, toxic))
     bags = np.array([[index[w] for w in s] + [len(words)] * (width - len(s)) for s in toxic])
-    negative, insults, some = in_clean > 0, in_toxic, np.random.default_rng(7)
+    negative, insults, some = np.flatnonzero(in_clean), in_toxic, np.random.default_rng(7)
     margin = np.ones(len(words) + 1)
     for step in range(ROUNDS):
         who = np.flatnonzero(insults)
-        known = [x[who]]
-        weights, goals = [insults[who] * toxic_weight], [np.ones(len(who))]
-        if step and len(who):
+        mass = insults[who] * toxic_weight
+        parts = [(x, who, np.ones(len(who)), mass)]
+        if step:
             # In disguise a word shall stand nearly as far out as plain.
-            hidden = [(v, n, min(margin[i], HIDDEN_GOAL)) for i, n in zip(who, weights[0]) for v in disguised(words[i], some)]
-            known.append(space([v for v, _, _ in hidden]))
-            weights.append(np.array([n for _, n, _ in hidden]))
-            goals.append(np.array([g for _, _, g in hidden]))
-        known.append(x[negative])
-        goals.append(-np.ones(len(known[-1])))
+            hidden = [(v, min(margin[i], HIDDEN_GOAL), n) for i, n in zip(who, mass) for v in disguised(words[i], some)]
+            parts.append((kernel([v for v, _, _ in hidden], landmarks) @ root, np.arange(len(hidden)), *(np.array(c) for c in list(zip(*hidden))[1:])))
         # In the first round nearly all that is called an insult is none, so the classes are held in balance.
-        weights.append(in_clean[negative] * (clean_weight if step else 3 * weights[0].sum() / in_clean.sum()))
-        w, bias = fit_svm(np.concatenate(known), np.concatenate(goals), np.concatenate(weights), COSTS[step > 0])
-        margin = np.append(x @ w + bias, -2.0)
+        parts.append((x, negative, -np.ones(len(negative)), in_clean[negative] * (clean_weight if step else 3 * mass.sum() / in_clean.sum())))
+        w, bias = fit_svm(parts, COSTS[step > 0])
+        margin = np.concatenate([*(x[k : k + 8_192].astype(np.float32) @ w + bias for k in range(0, len(words), 8_192)), [-2.0]])
         # The first boundary lies where hardly a clean word is; from then on it is the machine's own.
-        border = 0.0 if step else max(float(np.quantile(np.repeat(margin[:-1][negative], in_clean[negative].astype(int)), 0.9995)), -0.5)
+        border = 0.0 if step else max(float(np.quantile(np.repeat(margin[negative], in_clean[negative].astype(int)), 0.9995)), -0.5)
         insults = np.bincount(bags[margin[bags] > border], minlength=len(words) + 1)[: len(words)].astype(float)
         if not insults.any():
             return flat
-    model = ToxicModel((landmarks.T @ (root @ w)).astype(np.float32), bias, flat.curves)
+    model = ToxicModel((landmarks @ (root @ w)).astype(np.float32), bias, flat.curves)
     tops = top_margins(sample, model).join(sample.select("doc_id", "toxic"), "doc_id").toPandas()  # 2 x FIT_DOCS rows at most
     margins, toxic_docs = np.stack(tops["margins"].to_numpy()), tops["toxic"].to_numpy(float)
     model.curves = [rising_share(m, toxic_docs) for m in margins.T]
