@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from lumenbank.functions import text as T
 from lumenbank.sources.adapters import LETTERS, LEVELS, TIERS
+from lumenbank.sources.storage import saved
+
+#: Rows of a counted side that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -192,11 +196,22 @@ def most_common(rows: DataFrame, key: str, value: str, first: str) -> DataFrame:
 
 
 def ngram_matches(published: DataFrame, corpus: DataFrame, n: int, most_docs: int) -> DataFrame:
-    """(unit, start, gram, docs): each published n-gram that the corpus has, without those in ``most_docs`` or more documents."""
-    grams = lambda df, key: df.select(key, F.split(T.plain_norm(F.col("text")), " ").alias("w")).select(key, F.explode(T.word_ngrams(F.col("w"), n)).alias("g")).select(key, "g.gram", "g.start")
-    index = grams(corpus, "doc").select("gram", "doc").distinct()
-    index = index.join(index.groupBy("gram").agg(F.count("*").alias("docs")).filter(F.col("docs") < most_docs), "gram")
-    return grams(published, "unit").join(index, "gram")
+    """(unit, start, gram, doc, docs): each published n-gram that the corpus has, without those in ``most_docs`` or more documents.
+
+    The published n-grams go first: of the corpus, only n-grams whose 64-bit
+    hash is among theirs leave the scan, so the rest of it is never shuffled.
+    """
+    words = lambda df, key: df.select(key, F.split(T.plain_norm(F.col("text")), " ").alias("w"))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    asked = words(published, "unit").select("unit", F.explode(T.word_ngrams(F.col("w"), n)).alias("g")).select("unit", "g.gram", "g.start")
+    asked = saved(asked.withColumn("h", hashed(F.split("gram", " "))).withColumn("h", F.xxhash64(*[F.get("h", F.lit(k)) for k in range(n)])))
+    keys = saved(asked.select("h").distinct())
+    parts = words(corpus, "doc").select("doc", hashed(F.col("w")).alias("w"))
+    each = F.transform(F.slice("w", 1, F.greatest(F.size("w") - n + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get("w", i + k) for k in range(1, n)]))
+    found = parts.select("doc", F.explode(F.array_distinct(each)).alias("h")).join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "h").distinct()
+    index = saved(found)
+    rare = index.groupBy("h").agg(F.count("*").alias("docs")).filter(F.col("docs") < most_docs)
+    return asked.join(index.join(rare, "h"), "h").drop("h")
 
 
 def longest_runs(matches: DataFrame, n: int) -> DataFrame:

@@ -139,20 +139,32 @@ def sessions(log: DataFrame) -> DataFrame:
     return rows.withColumn("ended_ts", F.when(F.col("user_id") % 11 != 5, F.col("ended"))).drop("ended")
 
 
+#: Attempts of a block in which decayed sums run.
+BLOCK = 256
+
+
 def trajectory(log: DataFrame, universe: DataFrame, blueprint: DataFrame) -> DataFrame:
     """Readiness of each user and cluster after each of its attempts, without replaying the log for each point.
 
     Newer attempts push older ones a place down, so an indicator's sums obey
     S' = w + 0.9 S. Each attempt changes one indicator's share of its area,
     and the shares' running sum is the readiness. Indicators outside the
-    catalogue are left out; a step reads at most the 256 attempts before it,
-    beyond which weights are under 2e-12.
+    catalogue are left out. S is a running sum over a block of 256 attempts,
+    scaled by powers of 0.9, and what the blocks before it leave: the last two
+    of them, since a third would add less than the 1e-34th part.
     """
     by_pi = W.partitionBy(*PI).orderBy("ts", F.desc("id"))
-    last = by_pi.rowsBetween(-255, 0)
-    fold = lambda c: F.aggregate(F.collect_list(c).over(last), F.lit(0.0), lambda s, x: s * DECAY + x)
-    rows = log.join(F.broadcast(universe), ["cluster", "area", "pi"], "left_semi").withColumn("w", tier_weight())
-    rows = rows.withColumns({"s": fold(F.col("w")), "c": fold(F.col("w") * F.col("correct").cast("int"))})
+    rows = log.join(F.broadcast(universe), ["cluster", "area", "pi"], "left_semi").withColumns({"w": tier_weight(), "nth": F.row_number().over(by_pi) - 1})
+    rows = rows.withColumns({"block": F.floor(F.col("nth") / BLOCK), "at": F.col("nth") % BLOCK})
+    here = W.partitionBy(*PI, "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    ago = lambda k: W.partitionBy(*PI).orderBy("block").rangeBetween(-k, -k)
+
+    def decayed(value):
+        own = F.sum(value * F.pow(F.lit(DECAY), -F.col("at"))).over(here) * F.pow(F.lit(DECAY), F.col("at"))
+        left = lambda k: F.coalesce(F.sum(value * F.pow(F.lit(DECAY), F.lit(BLOCK - 1) - F.col("at"))).over(ago(k)), F.lit(0.0))
+        return own + F.pow(F.lit(DECAY), F.col("at") + 1) * (left(1) + DECAY**BLOCK * left(2))
+
+    rows = rows.withColumns({"s": decayed(F.col("w")), "c": decayed(F.col("w") * F.col("correct").cast("int"))})
     rows = rows.withColumn("share", F.least(F.lit(1.0), F.col("s") / FULL) * (PRIOR_HITS + F.col("c")) / (PRIOR + F.col("s")))
     rows = rows.withColumn("step", F.col("share") - F.coalesce(F.lag("share").over(by_pi), F.lit(0.0)))
     sizes = universe.groupBy("cluster", "area").agg(F.count("*").alias("pis"))

@@ -33,21 +33,23 @@ def next_fit(areas: DataFrame, group: str, size: int) -> DataFrame:
 
 
 def first_fit_decreasing(areas: DataFrame, group: str, size: int) -> DataFrame:
-    """(group, area, bin): largest areas first, each into the first bin with room; an area above ``size`` has a bin of its own."""
+    """(group, area, part, bin, n): areas above ``size`` split evenly, then the largest parts first, each into the first bin with room."""
 
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rooms, out = [], []
-        for n, area in sorted(zip(-rows["n"], rows["area"])):
-            n = -n
-            at = next((i for i, room in enumerate(rooms) if room >= n), None)
+        rooms, out, parts = [], [], []
+        for area, n in zip(rows["area"], rows["n"]):
+            pieces = max(1, -(-n // size))
+            parts += [(-(n // pieces + (p < n % pieces)), area, p) for p in range(pieces)]
+        for n, area, p in sorted(parts):
+            at = next((i for i, room in enumerate(rooms) if room >= -n), None)
             if at is None:
-                rooms.append(max(size, n))
+                rooms.append(size)
                 at = len(rooms) - 1
-            rooms[at] -= n
-            out.append((key[0], area, at + 1))
-        return pd.DataFrame(out, columns=[group, "area", "bin"])
+            rooms[at] += n
+            out.append((key[0], area, p, at + 1, -n))
+        return pd.DataFrame(out, columns=[group, "area", "part", "bin", "n"])
 
-    return areas.groupBy(group).applyInPandas(pack, f"{group} string, area string, bin long")
+    return areas.groupBy(group).applyInPandas(pack, f"{group} string, area string, part long, bin long, n long")
 
 
 def accept_in_order(candidates: DataFrame, group: str, most_alike: float, depth: int) -> DataFrame:

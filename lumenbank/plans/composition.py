@@ -67,11 +67,11 @@ def compose_test(spark, sf):
     return C.compose_test(bank(spark, sf), {"easy": 5, "medium": 8, "hard": 12}, "cluster", 5)
 
 
-@query("dom03_draw_pi_questions", f"""{BANK}, asked AS (SELECT DISTINCT cluster, area, pi FROM bank WHERE id % 40 = 0), c AS (SELECT a.cluster, a.area, a.pi, b.id, CASE WHEN b.pi = a.pi THEN 0 ELSE 1 END AS rank FROM asked a JOIN bank b USING (cluster, area)),
+@query("dom03_draw_pi_questions", f"""{BANK}, asked AS (SELECT DISTINCT cluster, area, pi FROM bank), c AS (SELECT a.cluster, a.area, a.pi, b.id, CASE WHEN b.pi = a.pi THEN 0 ELSE 1 END AS rank FROM asked a JOIN bank b USING (cluster, area)),
     p AS (SELECT *, row_number() OVER (PARTITION BY cluster, area, pi ORDER BY rank, sha256(id || ':9'), id) AS place FROM c) SELECT cluster, area, pi, id, place, CASE rank WHEN 0 THEN 'pi' ELSE 'area' END AS source FROM p WHERE place <= 4""")
 def draw_pi_questions(spark, sf):
     rows = bank(spark, sf).select("id", "cluster", "area", "pi")
-    return C.draw_for_indicator(rows, rows.filter("id % 40 = 0").select("cluster", "area", "pi").distinct(), 4, 9)
+    return C.draw_for_indicator(rows, rows.select("cluster", "area", "pi").distinct(), 4, 9)
 
 
 @query("join06_exclude_answered", f"{BANK} SELECT id FROM bank ANTI JOIN (SELECT doc_id AS id FROM labels) USING (id)")
@@ -144,20 +144,20 @@ def month_labels(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.date_format("o_orderdate", "MMMM yyyy").alias("label"), F.date_format("o_orderdate", "EEE").alias("weekday"))
 
 
-@query("win11_day_neighbours", "WITH d AS (SELECT DISTINCT ts::DATE::VARCHAR AS day FROM events WHERE event_type = 'error' AND event_id % 5 = 0) SELECT day, row_number() OVER w AS number, lag(day) OVER w AS previous, lead(day) OVER w AS next FROM d WINDOW w AS (ORDER BY day)")
+@query("win11_day_neighbours", "WITH d AS (SELECT DISTINCT ts::DATE::VARCHAR AS day FROM events WHERE event_type = 'error') SELECT day, row_number() OVER w AS number, lag(day) OVER w AS previous, lead(day) OVER w AS next FROM d WINDOW w AS (ORDER BY day)")
 def day_neighbours(spark, sf):
     # Days, not events, meet in the one ordered window.
-    days = table(spark, sf, "events").filter("event_type = 'error' AND event_id % 5 = 0").select(F.to_date("ts").cast("string").alias("day")).distinct()
+    days = table(spark, sf, "events").filter("event_type = 'error'").select(F.to_date("ts").cast("string").alias("day")).distinct()
     w = W.orderBy("day")
     return days.select("day", F.row_number().over(w).alias("number"), F.lag("day").over(w).alias("previous"), F.lead("day").over(w).alias("next"))
 
 
-@query("win12_recent_window", "SELECT a.event_id, count(b.event_id) AS before FROM (SELECT * FROM events WHERE event_id % 50 = 0) a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts::DATE >= a.ts::DATE - 5 AND b.ts::DATE < a.ts::DATE GROUP BY a.event_id")
+@query("win12_recent_window", "SELECT a.event_id, count(b.event_id) AS before FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts::DATE >= a.ts::DATE - 5 AND b.ts::DATE < a.ts::DATE GROUP BY a.event_id")
 def recent_window(spark, sf):
     day = F.unix_date(F.to_date("ts"))
     w = W.partitionBy("user_id").orderBy("day").rangeBetween(-5, -1)
     rows = table(spark, sf, "events").select("event_id", "user_id", day.alias("day"))
-    return rows.withColumn("before", F.count("*").over(w)).filter("event_id % 50 = 0").select("event_id", "before")
+    return rows.withColumn("before", F.count("*").over(w)).select("event_id", "before")
 
 
 @query("win08_rank_of_row", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rank, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC), 6) AS share FROM customer")

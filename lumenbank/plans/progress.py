@@ -170,12 +170,12 @@ def session_rollup(spark, sf):
     return M.sessions(attempts(spark, sf))
 
 
-@query("agg13_session_mix", f"""{LOG}, {SESSIONS_SQL}, even AS (SELECT * FROM attempts WHERE id % 2 = 0 AND user_id <> 3)
+@query("agg13_session_mix", f"""{LOG}, {SESSIONS_SQL}
     SELECT s.session_id, s.user_id, count(e.id) FILTER (WHERE difficulty = 'easy') AS easy, count(e.id) FILTER (WHERE difficulty = 'medium') AS medium, count(e.id) FILTER (WHERE difficulty = 'hard') AS hard, count(e.id) AS total
-    FROM sessions s LEFT JOIN even e USING (session_id) GROUP BY ALL""")
+    FROM sessions s LEFT JOIN attempts e USING (session_id) GROUP BY ALL""")
 def session_mix(spark, sf):
     log = attempts(spark, sf)
-    return M.session_mix(M.sessions(log).select("session_id", "user_id"), log.filter("id % 2 = 0 AND user_id <> 3"))
+    return M.session_mix(M.sessions(log).select("session_id", "user_id"), log)
 
 
 @query("win04_trajectory", f"""{LOG}, {UNIVERSE_SQL}, {BLUEPRINT_SQL}, known AS (

@@ -221,9 +221,9 @@ def metric_selection(spark, sf):
     return M.pi_stats(attempts(spark, sf)).filter(metrics["evidence"] >= 2.5).select(*M.PI)
 
 
-@query("udf05_expand_needs", f"{HALF} SELECT o_orderkey, unnest(range(1, (o_orderkey % 4 + 1)::INT)) AS slot FROM t")
+@query("udf05_expand_needs", "SELECT o_orderkey, unnest(range(1, (o_orderkey % 4 + 1)::INT)) AS slot FROM orders")
 def expand_needs(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0").withColumn("need", (F.col("o_orderkey") % 4).cast("int")).filter("need > 0")
+    rows = table(spark, sf, "orders").withColumn("need", (F.col("o_orderkey") % 4).cast("int")).filter("need > 0")
     return rows.select("o_orderkey", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("slot"))
 
 
@@ -241,9 +241,9 @@ def harvest_merge(spark, sf):
     return c.select("pi", "area", F.when(F.col("areas") > 1, "conflict").when(F.col("cases") >= 3, "promoted").otherwise("adjacent").alias("state"))
 
 
-@query("dom30_tag_payload", f"{BANK} SELECT id, ntile(5) OVER (PARTITION BY cluster ORDER BY id) AS batch FROM bank WHERE id % 3 = 1 OR difficulty = 'hard'")
+@query("dom30_tag_payload", f"{BANK} SELECT id, ntile(5) OVER (PARTITION BY cluster ORDER BY id) AS batch FROM bank")
 def tag_payload(spark, sf):
-    rows = bank(spark, sf).filter("id % 3 = 1 OR difficulty = 'hard'")
+    rows = bank(spark, sf)
     return rows.select("id", F.ntile(5).over(W.partitionBy("cluster").orderBy("id")).alias("batch"))
 
 

@@ -79,7 +79,7 @@ BLUEPRINT_SQL = """
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions from ``documents``: stem and options are slices of the text, so copied documents give copied questions."""
+    """Questions from ``documents``: stem and options are slices of the text and the explanation is all the rest, so copied documents give copied questions."""
     d = table(spark, sf_dir, "documents")
     cut = lambda at, by: F.trim(F.substring("text", F.lit(at), (F.lit(10) + F.col("n_chars") % by).cast("int")))
     level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -96,7 +96,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("text", 1, 80).alias("question"),
         F.create_map(F.lit("A"), cut(81, 7), F.lit("B"), cut(101, 11), F.lit("C"), cut(131, 13), F.lit("D"), cut(161, 5)).alias("options"),
         F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("answer"),
-        F.substring("text", 181, 120).alias("explanation"),
+        F.expr("substring(text, 181)").alias("explanation"),
         F.when(F.col("n_chars") < 900, "easy").when(F.col("n_chars") < 2500, "medium").otherwise("hard").alias("difficulty"),
     )
 
@@ -111,7 +111,7 @@ BANK_SQL = """
                source AS area, source || '-' || (doc_id % 6) AS pi, substr(text, 1, 80) AS question,
                trim(substr(text, 81, 10 + n_chars % 7), ' ') AS a, trim(substr(text, 101, 10 + n_chars % 11), ' ') AS b,
                trim(substr(text, 131, 10 + n_chars % 13), ' ') AS c, trim(substr(text, 161, 10 + n_chars % 5), ' ') AS d,
-               substr('ABCD', (doc_id % 4 + 1)::INT, 1) AS answer, substr(text, 181, 120) AS explanation,
+               substr('ABCD', (doc_id % 4 + 1)::INT, 1) AS answer, substr(text, 181) AS explanation,
                CASE WHEN n_chars < 900 THEN 'easy' WHEN n_chars < 2500 THEN 'medium' ELSE 'hard' END AS difficulty
         FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'District' WHEN 1 THEN 'Association' ELSE 'ICDC' END AS level,
                      CASE WHEN doc_id % 5 < 3 THEN 'sets' ELSE 'pools' END AS section FROM documents)

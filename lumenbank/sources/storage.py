@@ -10,9 +10,11 @@ def saved(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         place = context.getConf().get("spark.checkpoint.dir")
-        if not place:  # a local session, as in tests
+        if not place:
             import tempfile
 
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
             place = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(place)
     return df.checkpoint(eager=True)

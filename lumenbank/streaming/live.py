@@ -13,8 +13,10 @@ from lumenbank.operators.mastery import DECAY, FULL, PRIOR, PRIOR_HITS, tier_wei
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set."""
+    """A new folder under the cluster's shared checkpoint folder; a local one only in a local session without one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
     return f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}" if base else tempfile.mkdtemp(prefix="spark-")
 
 
