@@ -53,7 +53,8 @@ def compose_test(rows: DataFrame, tier_quotas: dict[str, int], group: str, seed:
     """
     tiers = list(tier_quotas)
     total = sum(tier_quotas.values())
-    ordered = shuffled(rows, seed, [group, "difficulty"])
+    # No tier gives more than the whole test, so each task drops the rest before rows meet.
+    ordered = shuffled(rows, seed, [group, "difficulty"]).filter(F.col("place") <= total)
     quota = F.coalesce(*[F.when(F.col("difficulty") == t, q) for t, q in tier_quotas.items()], F.lit(0))
     near = F.coalesce(*[F.when(F.col("difficulty") == t, abs(i - 1)) for i, t in enumerate(tiers)], F.lit(9))
     ordered = ordered.withColumns({"borrowed": F.col("place") > quota, "near": near})

@@ -67,6 +67,14 @@ def compose_test(spark, sf):
     return C.compose_test(bank(spark, sf), {"easy": 5, "medium": 8, "hard": 12}, "cluster", 5)
 
 
+@query("dom04_diagnostic_sample", f"""{BANK}, o AS (SELECT id, cluster, difficulty, row_number() OVER (PARTITION BY cluster, difficulty ORDER BY sha256(id || ':11'), id) AS place FROM bank),
+    b AS (SELECT *, place > 6 AS borrowed, CASE difficulty WHEN 'medium' THEN 0 ELSE 1 END AS near FROM o),
+    s AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY borrowed, near, place, id) AS slot FROM b) SELECT id, cluster, difficulty, borrowed, slot FROM s WHERE slot <= 18""")
+def diagnostic_sample(spark, sf):
+    """A balanced test of 18; a cluster without questions has none."""
+    return C.compose_test(bank(spark, sf), {"easy": 6, "medium": 6, "hard": 6}, "cluster", 11)
+
+
 @query("dom03_draw_pi_questions", f"""{BANK}, asked AS (SELECT DISTINCT cluster, area, pi FROM bank), c AS (SELECT a.cluster, a.area, a.pi, b.id, CASE WHEN b.pi = a.pi THEN 0 ELSE 1 END AS rank FROM asked a JOIN bank b USING (cluster, area)),
     p AS (SELECT *, row_number() OVER (PARTITION BY cluster, area, pi ORDER BY rank, sha256(id || ':9'), id) AS place FROM c) SELECT cluster, area, pi, id, place, CASE rank WHEN 0 THEN 'pi' ELSE 'area' END AS source FROM p WHERE place <= 4""")
 def draw_pi_questions(spark, sf):
