@@ -108,8 +108,8 @@ def dense(words: list[str]) -> np.ndarray:
 def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values between words and the landmarks of :func:`dense`."""
     out = np.zeros((len(words), landmarks.shape[1]), np.float32)
-    for at in range(0, len(words), 4_096):
-        rows, keys, weights = kernel_map(words[at : at + 4_096])
+    for at in range(0, len(words), 1_024):
+        rows, keys, weights = kernel_map(words[at : at + 1_024])
         if not len(rows):
             continue
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
@@ -235,10 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
     root = (vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])).astype(np.float32)
     x = np.empty((len(words), root.shape[1]), np.float16)  # the words in the space of the landmarks
-    for k in range(0, len(words), 8_192):
-        x[k : k + 8_192] = kernel(words[k : k + 8_192], landmarks) @ root
+    for k in range(0, len(words), 4_096):
+        x[k : k + 4_096] = kernel(words[k : k + 4_096], landmarks) @ root
     width = max(map(len, toxic))
-    bags = np.array([[index[w] for w in s] + [len(words)] * (width - len(s)) for s in toxic])
+    bags = np.array([[index[w] for w in s] + [len(words)] * (width - len(s)) for s in toxic], np.int32)
+    del found, clean, t, c, index
     negative, insults, some = np.flatnonzero(in_clean), in_toxic, np.random.default_rng(7)
     margin = np.ones(len(words) + 1)
     for step in range(ROUNDS):
