@@ -272,7 +272,9 @@ def test_quality_held_out(spark):
 
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 1.0)] * 90 + [("big", "b", 0.0)] * 60 + [("bad", "a", 0.0)] * 80 + [("new", "z", 0.0)] + [("fine", "q", 1.0)] * 200
-    sites = {(r.host, r.path): r for r in quality_model.site_posteriors(spark.createDataFrame(rows, "host string, path string, good double")).collect()}
+    host_good, path_good = quality_model.posteriors(F.lit(None).cast("int"))
+    counts = quality_model.site_counts(spark.createDataFrame(rows, "host string, path string, quality double"))
+    sites = {(r.host, r.path): r for r in counts.select("*", host_good.alias("host_good"), path_good.alias("path_good")).collect()}
     overall = sites["big", "a"].global_good
     assert sites["bad", "a"].host_good < 0.1 < sites["big", "b"].host_good < sites["big", "a"].path_good
     assert overall > sites["new", "z"].host_good > 0.2  # one bad document says little of a host
