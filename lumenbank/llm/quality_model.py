@@ -131,7 +131,8 @@ def posteriors(own: Column) -> tuple[Column, Column]:
 def fit_weights(rows: DataFrame) -> tuple[float, float, float, float]:
     """Weights of the document's odds, the host's evidence and the path's, and the constant, from labelled rows (odds, host_evidence, path_evidence, quality).
 
-    A logistic regression; evidence that points the other way weighs nothing.
+    A logistic regression; evidence that points the other way weighs nothing,
+    and none counts for more than its own log odds say.
     """
     some = rows.filter(F.col("quality").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "odds").limit(FIT_ROWS)
     names = ["odds", "host_evidence", "path_evidence"]
@@ -140,7 +141,7 @@ def fit_weights(rows: DataFrame) -> tuple[float, float, float, float]:
         return 1.0, 1.0, 1.0, 0.0
     model = LogisticRegression(featuresCol="vector", regParam=1e-3, maxIter=60).fit(VectorAssembler(inputCols=names, outputCol="vector").transform(frame))
     own, host, path = (float(c) for c in model.coefficients)
-    return max(own, 1e-3), max(host, 0.0), max(path, 0.0), float(model.intercept)
+    return max(own, 1e-3), min(max(host, 0.0), 1.0), min(max(path, 0.0), 1.0), float(model.intercept)
 
 
 def judged(docs: DataFrame, labels: DataFrame, source: str = "source", section: str = "lang") -> DataFrame:
