@@ -62,6 +62,16 @@ class Digest:
         return self.n, self.ids.hexdigest(), self.bytes.hexdigest()
 
 
+def borders(text: str, starts: list[int]) -> list[int]:
+    """The pre-token starts where a text may be cut, so that both sides encode as they do within the whole.
+
+    A start with white space before it is none: the pattern shares white space
+    out by what follows it. Nor is the last code point, which may belong to a
+    longer contraction. Holds for patterns without lookbehind whose only lookahead is after white space.
+    """
+    return [p for p in starts if 0 < p < len(text) - 1 and not text[p - 1].isspace()]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """:func:`encode_sides` as one frame."""
     short, long = encode_sides(docs, path, pattern, chunk, overlap)
@@ -73,7 +83,7 @@ def encode_sides(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
 
     ``row`` tells repeated doc_ids apart. Texts of one chunk are encoded where
     they stand. A longer text becomes overlapping chunks that are pre-tokenised
-    apart; a chunk hands over to the next at the first pre-token start that
+    apart; a chunk hands over to the next at the first of the :func:`borders` that
     both have in their overlap, since from a common start on both go on alike.
     Then each chunk's span is encoded, so one long text is spread over tasks.
     Where an overlap has no common start (one pre-token spans it), the text's
@@ -96,7 +106,7 @@ def encode_sides(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
         starts = regex.compile(pattern)
 
         def one(row, doc, part, last, text):
-            at = [m.start() for m in starts.finditer(text)]
+            at = borders(text, [m.start() for m in starts.finditer(text)])
             return [(row, doc, part, last, text, [p for p in at if p < overlap] if part else [0], [] if last else [p - chunk for p in at if p >= chunk])]
 
         return one
@@ -139,8 +149,8 @@ def _walk(path: str, pattern: str, chunk: int):
                 ids: list[int] = []
                 if last or sum(map(len, carry)) >= enough:
                     open_text = "".join(carry)
-                    # The last match may grow with what follows; all before it are settled.
-                    stop = len(open_text) if last else max((m.start() for m in matcher.finditer(open_text)), default=0)
+                    # What follows the last border may still be shared out otherwise; all before it is settled.
+                    stop = len(open_text) if last else max(borders(open_text, [m.start() for m in matcher.finditer(open_text)]), default=0)
                     ids, carry = encoding.encode_ordinary(open_text[:stop]), [open_text[stop:]]
                     enough = 2 * len(carry[0])
                 yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc], "part": [part], "ids": [ids]}, schema=kinds)

@@ -212,3 +212,32 @@ def test_one_pre_token_over_many_chunks(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = byte_bpe.token_digests(docs, PATH, PATTERN, 500, 50).first()
     assert got.n_tokens == len(byte_bpe.load_encoding(PATH, PATTERN).encode_ordinary(text))
+
+
+def held_by(library, text):
+    ids = library.encode_ordinary(text)
+    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def fuzzed(n, seed):
+    """Texts of white space of every kind, contractions, digits, letters and signs, mixed at random."""
+    import random
+
+    draw = random.Random(seed)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", " ", " ", "​", "a", "don't", "'re", "'", "r", "e", "'ll", "7", "42", "é", "日本", "́", "??", "...", "\U0001f600", "word", "Zz"]
+    return ["".join(draw.choices(parts, k=draw.randint(1, 160))) for _ in range(n)] + [" " * draw.randint(1, 300) + "x" for _ in range(5)] + ["\n" * 200, "a" * 300 + "\n\n" + "b" * 200]
+
+
+@pytest.mark.parametrize("chunk, overlap", [(20, 8), (33, 5), (50, 10), (128, 32)])
+def test_bpe_chunks_meet_anywhere(spark, library, chunk, overlap):
+    """Wherever a chunk ends, also after mixed white space or inside a contraction, the ids are the library's."""
+    texts = fuzzed(700, chunk)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.token_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, PATTERN, chunk, overlap).collect()}
+    wrong = [t for i, t in enumerate(texts) if got[i] != held_by(library, t)]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_bpe_blank_line_at_a_border(spark, library):
+    texts = ["x " * 16_383 + "\n\n5" + " tail" * 9_000, "y" * 32_766 + "\n\n5 " + "z\n\n" * 20_000, "w " * 16_384 + "don't" * 9_000]
+    got = byte_bpe.token_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, PATTERN).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got] == [held_by(library, t) for t in texts]
