@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbank.llm import byte_bpe, chat, decontaminate, html_text, language_id, quality_model, quality_rules, simhash, toxicity, url_filter
+from lumenbank.llm import byte_bpe, chat, decontaminate, html_text, language_id, merkle, quality_model, quality_rules, simhash, toxicity, url_filter
 from lumenbank.llm.common import table, training_half
 
 
@@ -65,6 +65,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), model)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +119,51 @@ ORACLES: dict[str, str] = {
         GROUP BY ds.id, ds.row, si.id, si.row, n.n_item
         HAVING count(*) >= ceil(0.8 * n.n_item)
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE leaves AS (
+            SELECT row_number() OVER () AS row, doc_id, source,
+                   sha256(coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source::VARCHAR)::VARCHAR || ':' || source::VARCHAR, '-') || coalesce(strlen(lang::VARCHAR)::VARCHAR || ':' || lang::VARCHAR, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || coalesce(strlen(text::VARCHAR)::VARCHAR || ':' || text::VARCHAR, '-')) AS leaf,
+                   sha256(coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source::VARCHAR)::VARCHAR || ':' || source::VARCHAR, '-') || coalesce(strlen(lang::VARCHAR)::VARCHAR || ':' || lang::VARCHAR, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || coalesce(strlen(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')::VARCHAR)::VARCHAR || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')::VARCHAR, '-')) AS changed,
+                   xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                       lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 5 = 0 AS chosen
+            FROM documents
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM leaves
+        ), up AS (
+            SELECT source, 0 AS level, place, size, leaf AS digest FROM placed
+            UNION ALL
+            SELECT source, level + 1, place // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE size > 1 GROUP BY source, level, place // 16, size
+        ), subroots AS (
+            SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM up WHERE size = 1
+        ), top AS (
+            SELECT 0 AS level, place, size, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM top WHERE size > 1 GROUP BY level, place // 16, size
+        ), root AS (
+            SELECT digest AS root FROM top WHERE size = 1
+        ), steps AS (
+            SELECT p.row, u.level, u.place AS place, u.digest, u.place = p.place // (16 ** u.level)::BIGINT AS own
+            FROM placed p JOIN up u ON u.source IS NOT DISTINCT FROM p.source AND u.size > 1 AND u.place // 16 = (p.place // (16 ** u.level)::BIGINT) // 16
+            UNION ALL
+            SELECT p.row, 1000 + t.level, t.place, t.digest, t.place = s.place // (16 ** t.level)::BIGINT
+            FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN top t ON t.size > 1 AND t.place // 16 = (s.place // (16 ** t.level)::BIGINT) // 16
+        ), beside AS (
+            SELECT row, level, dense_rank() OVER (PARTITION BY row ORDER BY level) AS step, place, digest, own FROM steps
+        ), runs AS (
+            SELECT row, step, coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE NOT own), '') AS siblings,
+                   coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE NOT own AND place < mine), '') AS lefts,
+                   coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE NOT own AND place > mine), '') AS rights
+            FROM (SELECT *, max(place) FILTER (WHERE own) OVER (PARTITION BY row, step) AS mine FROM beside) GROUP BY row, step
+        ), folded AS (
+            SELECT row, 0::BIGINT AS step, CASE WHEN chosen THEN changed ELSE leaf END AS digest FROM leaves
+            UNION ALL
+            SELECT f.row, r.step, sha256(r.lefts || f.digest || r.rights) FROM folded f JOIN runs r ON r.row = f.row AND r.step = f.step + 1
+        ), ends AS (
+            SELECT row, arg_max(digest, step) AS folded_root FROM folded GROUP BY row
+        ), proofs AS (
+            SELECT row, string_agg(siblings, '' ORDER BY step) AS proof FROM runs GROUP BY row
+        )
+        SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(coalesce(q.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+        FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN ends e ON e.row = p.row LEFT JOIN proofs q ON q.row = p.row CROSS JOIN root
+    """,
 }
