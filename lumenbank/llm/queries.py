@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbank.llm import alignment, byte_bpe, chat, decontaminate, html_text, language_id, merkle, quality_model, quality_rules, simhash, toxicity, url_filter
+from lumenbank.llm import alignment, byte_bpe, chat, decontaminate, html_text, language_id, merkle, quality_model, quality_rules, simhash, text_tree, toxicity, url_filter
 from lumenbank.llm.common import table, training_half
 
 
@@ -73,6 +73,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op13_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_tree.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +90,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_document_tree": op13_document_tree,
 }
 
 ORACLES: dict[str, str] = {

@@ -112,7 +112,7 @@ def test_ids_are_the_library_s(libraries):
 def test_partial_counts_are_handed_on_in_full(spark, monkeypatch):
     """Small limits in the worker and several partitions: the sums of all partial counts are the counts."""
     monkeypatch.setattr(alignment, "SORTED", 50)
-    monkeypatch.setattr(alignment, "HELD", 20)
+    monkeypatch.setattr(alignment, "HELD", 10)
     docs = spark.createDataFrame([(i, f"some words {i % 7} and more") for i in range(200)], "doc_id long, text string").repartition(4)
     aligned = alignment.saved(alignment.align(docs, A, B))
     held = Counter(k for r in aligned.collect() for k in alignment.unpack(r.pairs)[0].tolist())
