@@ -31,16 +31,17 @@ SORTED, HELD = 2_000_000, 4_000_000
 
 
 class Tokens:
-    """A tokenizer: ``encode`` gives ids, ``raw`` each id's bytes."""
+    """A tokenizer: ``encode`` gives ids, ``raw`` each id's bytes; ``lossless`` if they only ever split the text's bytes."""
 
-    def __init__(self, encode: Callable[[str], np.ndarray], raw: list[bytes]):
-        self.encode, self.raw = encode, raw
+    def __init__(self, encode: Callable[[str], np.ndarray], raw: list[bytes], lossless: bool):
+        self.encode, self.raw, self.lossless = encode, raw, lossless
         self.size = np.array([len(x) for x in raw], dtype=np.int64)
 
     def ids(self, text: str, whole: bytes) -> np.ndarray | None:
         """The ids of ``text``, or None if their bytes aren't ``whole``."""
         ids = np.asarray(self.encode(text), dtype=np.int64)
-        return ids if b"".join(map(self.raw.__getitem__, ids.tolist())) == whole else None
+        same = self.size[ids].sum() == len(whole) if self.lossless else b"".join(map(self.raw.__getitem__, ids.tolist())) == whole
+        return ids if same else None
 
 
 def byte_level(path: str) -> Tokens:
@@ -64,7 +65,7 @@ def byte_level(path: str) -> Tokens:
     for piece, i in ranks.items():
         raw[i] = piece
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokens(lambda text: encoding.encode_to_numpy(text, disallowed_special=()), raw)
+    return Tokens(lambda text: encoding.encode_to_numpy(text, disallowed_special=()), raw, True)
 
 
 def pieces(path: str) -> Tokens:
@@ -77,7 +78,7 @@ def pieces(path: str) -> Tokens:
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    return Tokens(lambda text: model.encode(text, num_threads=1), [raw(i) for i in range(model.get_piece_size())])
+    return Tokens(lambda text: model.encode(text, num_threads=1), [raw(i) for i in range(model.get_piece_size())], False)
 
 
 class Groups:
@@ -86,21 +87,23 @@ class Groups:
     def __init__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
         self.a, self.b = a, b
         ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-        cuts = np.intersect1d(ends_a, ends_b)
-        # A token belongs to the group of the first cut at or after its end.
-        self.of_a, self.of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-        self.n = len(cuts)
-        self.n_a, self.n_b = np.bincount(self.of_a, minlength=self.n), np.bincount(self.of_b, minlength=self.n)
+        # Both end with the text, so each end has a place among the other ones.
+        at = np.searchsorted(ends_b, ends_a)
+        self.cut_a, self.cut_b = ends_b[at] == ends_a, np.zeros(len(b), bool)
+        self.cut_b[at[self.cut_a]] = True
+        self.of_a, self.of_b = np.cumsum(self.cut_a) - self.cut_a, np.cumsum(self.cut_b) - self.cut_b
+        # Where the tokens of a group end.
+        self.end_a, self.end_b = np.flatnonzero(self.cut_a) + 1, np.flatnonzero(self.cut_b) + 1
+        self.n = len(self.end_a)
+        self.n_a, self.n_b = np.diff(self.end_a, prepend=0), np.diff(self.end_b, prepend=0)
         self.links = self.n_a * self.n_b
 
     def written(self, decimal: list[str], width: int) -> str:
-        """``a1,a2|b1;a3|b2,b3``; ``decimal`` has ``width`` numbers with each of ``,`` ``|`` ``;`` and nothing after them."""
-        side = np.concatenate([2 * self.of_a, 2 * self.of_b + 1])
-        order = np.argsort(side, kind="stable")
-        side = side[order]
-        mark = np.where(side[1:] == side[:-1], 0, 1 + side[:-1] % 2)
-        at = np.concatenate([self.a, self.b])[order] + width * np.append(mark, 3)
-        return "".join(map(decimal.__getitem__, at.tolist()))
+        """``a1,a2|b1;a3|b2,b3``; ``decimal`` has ``width`` numbers with each of ``,`` ``|`` ``;`` after them."""
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        out[np.arange(len(self.a)) + (self.end_b - self.n_b)[self.of_a]] = self.a + width * self.cut_a
+        out[np.arange(len(self.b)) + self.end_a[self.of_b]] = self.b + 2 * width * self.cut_b
+        return "".join(map(decimal.__getitem__, out.tolist()))[:-1]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct pairs of linked ids, and how many links have each."""
@@ -112,7 +115,7 @@ class Groups:
                 step = max(1, LINKS // len(b))
                 for k in range(0, len(a), step):
                     held.append((((a[k : k + step, None] << SHIFT) | b).ravel(), np.multiply.outer(times_a[k : k + step], times_b).ravel()))
-        first_b, part = np.cumsum(self.n_b) - self.n_b, np.cumsum(self.links) // LINKS
+        first_b, part = self.end_b - self.n_b, np.cumsum(self.links) // LINKS
         for p in np.unique(part):
             mine = (part[self.of_a] == p) & ~large[self.of_a]
             of = self.of_a[mine]
@@ -158,7 +161,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def make():
         a, b = byte_level(path_a), pieces(path_b)
         width = max(len(a.raw), len(b.raw))
-        decimal = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(width)]
+        decimal = [f"{i}{mark}" for mark in (",", "|", ";") for i in range(width)]
 
         def one(doc, text):
             whole = b" " + text.encode() if text else None
