@@ -9,11 +9,11 @@ from lumenbank.functions import lines as L
 from lumenbank.functions import shapes
 from lumenbank.functions import text as T
 from lumenbank.operators import decks as D
-from lumenbank.operators import draws, leakage, matching, overlay, rotation
-from lumenbank.plans.curation import GRAMS, TOKENS
+from lumenbank.operators import authored, draws, harvest, leakage, matching, overlay, rotation
+from lumenbank.plans.curation import GRAMS, NORM, TOKENS
 from lumenbank.plans.progress import LOG, rounded
 from lumenbank.sources import store
-from lumenbank.sources.adapters import BANK_SQL, attempts, bank, table
+from lumenbank.sources.adapters import BANK_SQL, attempts, bank, hashed_bank, table
 from lumenbank.streaming.live import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -204,3 +204,100 @@ def store_reads(spark, sf):
     asked = {"pi": ("pi-7", None, None), "time": (None, "2024-01-05 06:00:00", "2024-01-07 12:00:00"), "both": ("pi-3", "2024-01-20 00:00:00", None)}
     parts = [store.read(spark, folder, *a).select(F.lit(name).alias("read"), "id") for name, a in asked.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+HARVEST = f"""{BANK}, c AS (SELECT id // 3 AS "case", area, 'PI ' || (id % 37) || CASE WHEN id % 4 = 0 THEN '.' ELSE '' END AS pi, 'pi ' || (id % 37) AS key FROM bank WHERE section = 'sets' AND area < 'src5'),
+    lib AS (SELECT DISTINCT area, 'PI ' || (id % 53) AS pi, 'pi ' || (id % 53) AS key FROM bank WHERE section = 'pools'), pub AS (SELECT DISTINCT area, 'PI ' || (id % 47) AS pi, 'pi ' || (id % 47) AS key FROM bank WHERE level = 'ICDC' AND area IN ('src1', 'src7'))"""
+
+
+def _harvest(spark, sf):
+    rows = bank(spark, sf).select("id", "area", "section", "level")
+    named = lambda df, n: df.select("area", F.concat(F.lit("PI "), F.col("id") % n).alias("pi"), F.concat(F.lit("pi "), F.col("id") % n).alias("key")).distinct()
+    n = F.col("id") % 37
+    corpus = rows.filter("section = 'sets' AND area < 'src5'").select(F.floor(F.col("id") / 3).alias("case"), "area", F.concat(F.lit("PI "), n, F.when(F.col("id") % 4 == 0, ".").otherwise("")).alias("pi"), F.concat(F.lit("pi "), n).alias("key"))
+    return corpus, named(rows.filter("section = 'pools'"), 53), named(rows.filter("level = 'ICDC' AND area IN ('src1', 'src7')"), 47)
+
+
+@query("dom23_harvested_lists", f"""{HARVEST}, s AS (SELECT area, key, count(DISTINCT "case") AS cases FROM c GROUP BY ALL), sp AS (SELECT key, pi FROM (SELECT key, pi, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, pi) AS nth FROM c GROUP BY key, pi) WHERE nth = 1),
+    b AS (SELECT area, key, pi, CASE WHEN cases >= 2 THEN 'in' ELSE 'near' END AS tier, 'corpus' AS origin FROM s JOIN sp USING (key) UNION ALL SELECT area, key, pi, 'in', 'library' FROM lib WHERE area NOT IN (SELECT area FROM c) AND key NOT IN (SELECT key FROM c)),
+    f AS (SELECT area, key, pi FROM pub WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.area = pub.area AND b.key = pub.key AND tier = 'in'))
+    SELECT * FROM b WHERE tier = 'in' OR NOT EXISTS (SELECT 1 FROM f WHERE f.area = b.area AND f.key = b.key) UNION ALL SELECT area, key, pi, 'in', 'published' FROM f""")
+def harvested_lists(spark, sf):
+    return harvest.merge(*_harvest(spark, sf))
+
+
+@query("agg36_area_conflicts", f"""{HARVEST} SELECT lib.area, lib.key, lib.pi, homes FROM lib JOIN (SELECT key, array_to_string(list_sort(list(DISTINCT area)), ',') AS homes, list(DISTINCT area) AS l FROM c GROUP BY key) USING (key) WHERE NOT list_contains(l, lib.area)""")
+def area_conflicts(spark, sf):
+    corpus, library, _ = _harvest(spark, sf)
+    return harvest.conflicts(corpus, library).withColumn("homes", F.array_join("homes", ","))
+
+
+PART = f"""{BANK}, p AS (SELECT *, 'c' || (id - CASE WHEN id % 41 = 0 THEN 1 ELSE 0 END) AS cand_id FROM hashed WHERE section = 'pools'), sets AS (SELECT * FROM hashed WHERE section = 'sets'),
+    w AS (SELECT 'c' || id AS cand_id, CASE WHEN id % 6 = 0 THEN 'A' ELSE answer END AS want_answer, CASE WHEN id % 7 = 0 THEN 'easy' ELSE difficulty END AS want_difficulty, CASE WHEN id % 10 = 3 THEN 'x' ELSE pi END AS want_pi, area AS want_area,
+          CASE WHEN id % 2 = 0 THEN (id % 4 + 1)::INT END AS want_rank, substr('ABCD', (id % 4 + 1)::INT, 1) AS want_longest, 8 AS want_low, 14 AS want_high, 12 AS want_key_length, 3 AS want_gap FROM bank WHERE section = 'pools' AND id % 9 <> 4),
+    x AS (SELECT p.*, w.* EXCLUDE (cand_id), w.cand_id IS NOT NULL AS known, count(*) OVER (PARTITION BY p.cand_id) AS times, [length(trim(a, ' ')), length(trim(b, ' ')), length(trim(c, ' ')), length(trim(d, ' '))] AS lens,
+        list_filter([{', '.join(NORM.format(x) for x in 'abcd')}], lambda o: o <> '') AS plain,
+        content_hash IN (SELECT content_hash FROM sets) AS in_bank, min(p.cand_id) OVER (PARTITION BY content_hash) AS first_content, min(p.cand_id) OVER (PARTITION BY stem_hash) AS first_stem,
+        stem_hash IN (SELECT stem_hash FROM sets) AS twin, EXISTS (SELECT 1 FROM sets s WHERE s.stem_hash = p.stem_hash AND s.cluster = p.cluster AND s.level = p.level) AS here FROM p LEFT JOIN w USING (cand_id)),
+    y AS (SELECT *, lens[ascii(answer) - 64] AS key, list_max(lens) AS top, lens[ascii(want_longest) - 64] AS wanted, len(list_filter(lens, lambda n: n > lens[ascii(answer) - 64])) + 1 AS rank,
+        list_min(lens) = 0 AS no_option, len(list_distinct(plain)) < len(plain) AS equal, trim(explanation, ' ') = '' AS no_explanation, trim(question, ' ') = '' AS no_question FROM x),
+    z AS (SELECT *, NOT (no_option OR equal OR no_explanation OR no_question) AS sound FROM y), g AS (SELECT cand_id, unnest([
+        {{0}}]) AS f FROM z)
+    SELECT cand_id, split_part(f, ':', 1) AS level, split_part(f, ':', 2) AS finding FROM g WHERE f IS NOT NULL UNION ALL SELECT cand_id, 'hard', 'missing' FROM w WHERE cand_id NOT IN (SELECT cand_id FROM p)"""
+TESTS = {
+    "hard:not in the payload": "NOT known",
+    "hard:returned more than once": "known AND times > 1",
+    "hard:empty option": "no_option",
+    "hard:same options": "equal",
+    "hard:empty explanation": "no_explanation",
+    "hard:empty question": "no_question",
+    "hard:answer is not the assigned letter": "sound AND known AND answer <> want_answer",
+    "hard:difficulty is not the requested one": "sound AND known AND difficulty <> want_difficulty",
+    "hard:indicator was rewritten": "sound AND known AND pi <> want_pi",
+    "hard:area was rewritten": "sound AND known AND area <> want_area",
+    "hard:key has another rank": "sound AND known AND want_rank IS NOT NULL AND rank <> want_rank",
+    "soft:a distractor ties with the key": "sound AND known AND want_rank IS NOT NULL AND rank = want_rank AND len(list_filter(lens, lambda n: n = key)) > 1",
+    "soft:assigned longest option ties": "sound AND known AND want_rank IS NULL AND wanted = top AND len(list_filter(lens, lambda n: n = top)) > 1",
+    "soft:another option is the longest": "sound AND known AND want_rank IS NULL AND wanted < top",
+    "soft:an option is outside the band": "sound AND known AND len(list_filter(lens, lambda n: n < 4 OR n > 18)) > 0",
+    "soft:key misses its target": "sound AND known AND abs(key - 12) > 8",
+    "soft:top gap over the cap": "sound AND known AND top - list_sort(lens)[3] > 3",
+    "hard:content is in the bank": "sound AND in_bank",
+    "hard:content is in this part": "sound AND first_content < cand_id",
+    "hard:stem is in the bank's slice": "sound AND here",
+    "soft:stem is elsewhere in the bank": "sound AND twin AND NOT here",
+    "hard:stem is in this part": "sound AND first_stem < cand_id",
+}
+
+
+@query("dom08_part_findings", PART.replace("{0}", ", ".join(f"CASE WHEN {test} THEN '{name.replace(chr(39), chr(39) * 2)}' END" for name, test in TESTS.items())))
+def part_findings(spark, sf):
+    """The pools as authored parts against their assignments and the sets as committed bank: ids that were not asked for, came twice or never, and all gates."""
+    rows = hashed_bank(spark, sf)
+    pools, n = rows.filter("section = 'pools'"), F.col("id")
+    items = pools.withColumn("cand_id", F.concat(F.lit("c"), n - F.when(n % 41 == 0, 1).otherwise(0)))
+    want = pools.filter("id % 9 <> 4").select(
+        F.concat(F.lit("c"), n).alias("cand_id"),
+        F.when(n % 6 == 0, "A").otherwise(F.col("answer")).alias("want_answer"),
+        F.when(n % 7 == 0, "easy").otherwise(F.col("difficulty")).alias("want_difficulty"),
+        F.when(n % 10 == 3, "x").otherwise(F.col("pi")).alias("want_pi"),
+        F.col("area").alias("want_area"),
+        F.when(n % 2 == 0, (n % 4 + 1).cast("int")).alias("want_rank"),
+        F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1)).alias("want_longest"),
+        *[F.lit(v).alias(f"want_{c}") for c, v in (("low", 8), ("high", 14), ("key_length", 12), ("gap", 3))],
+    )
+    return authored.check_part(items, want, rows.filter("section = 'sets'"))
+
+
+@query("dom09_batch_findings")
+def batch_findings(spark, sf):
+    """A batch of order lines as questions with four amounts each: shapes, assigned letters, shared options and tells; held against a loop in tests."""
+    x = table(spark, sf, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    money = lambda label, c: F.concat(F.lit(label), c.cast("string"))
+    options = F.create_map(F.lit("A"), money("An $", F.col("l_quantity")), F.lit("B"), money("a price of $", F.col("l_extendedprice")), F.lit("C"), money("A ", F.col("l_discount")), F.lit("D"), money("a tax of ", F.col("l_tax")))
+    letter = F.substring(F.lit("ABCD"), (F.col("l_linenumber") % 4 + 1).cast("int"), F.lit(1))
+    rows = x.select(
+        F.col("id").alias("cand_id"), F.col("l_linestatus").alias("file"), F.concat(F.lit("Of "), F.col("l_quantity").cast("string"), F.lit(" pieces?")).alias("question"), options.alias("options"), letter.alias("answer"),
+        F.lit("easy").alias("difficulty"), F.lit("why").alias("explanation"), F.lit("p").alias("pi"), F.col("l_returnflag").alias("area"),
+    )
+    return authored.check_batch(rows, rows.select("cand_id", F.when(F.col("area") == "R", "A").otherwise(F.col("answer")).alias("want_answer")).dropDuplicates(["cand_id"]))
