@@ -18,20 +18,25 @@ VOID_TAGS = set("area base br col embed hr img input link meta param source trac
 UNREAD_TAGS = set("script style noscript template iframe textarea title svg math object canvas audio video".split())
 BOILER_TAGS = set("nav footer aside form dialog menu button select fieldset label head search".split())
 BOILER_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead "
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cc comment comments consent cookie cookies disqus footer gdpr login masthead "
     "menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related replies reply share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar topbar".split()
 )
 #: Words that may stand beside one of these in a class name without making it another thing.
 PLACE_WORDS = set(
-    "area articles bar block blocks bottom box button buttons column container footer form global group header holder inner item items left link links list main menu "
-    "news outer page panel posts primary reader right row secondary section site slot social stories strip tags thread top unit user users widget widgets wrap wrapper".split()
+    "area articles bar block blocks body bottom box button buttons column container content count footer form global group header holder inner item items left link links list main menu "
+    "message news outer page panel posts primary reader respond right row secondary section site slot social stories strip tags thread top unit user users widget widgets window wrap wrapper".split()
 )
+#: Names that layouts also give to columns and wrappers around an article.
+LAYOUT_NAMES = set("banner masthead menu modal nav navbar panel popup share sharing sidebar social toolbar topbar".split())
+#: Run-together names of readers' comments; a commentary is a text.
+COMMENT_NAME = re.compile(r"^(?:user)?comments?(?!ar(?:y|ies))[a-z]*$")
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: Attributes one after the other, each with its whole value, so that none is read inside a value.
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 
 BLOCKS = "array<struct<text:string,words:double,linked:double,boiler:double,main:double,heading:double>>"
 
@@ -42,22 +47,47 @@ def furniture(name: str) -> bool:
     So ``ad-slot`` and ``related-posts`` do, and ``article-header``, ``notice-board`` and ``share-price`` do not.
     """
     parts = [p for p in re.split(r"[^a-z]+", name) if p]
-    return not BOILER_NAMES.isdisjoint(parts) and all(p in BOILER_NAMES or p in PLACE_WORDS for p in parts)
+    named = [p in BOILER_NAMES or bool(COMMENT_NAME.match(p)) for p in parts]
+    return any(named) and all(n or p in PLACE_WORDS for n, p in zip(named, parts))
 
 
-def boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+#: How an element is kept out: not at all, by a name that layouts use too, or for good.
+OPEN, BY_LAYOUT, CLOSED = 0, 1, 2
+
+
+def boilerplate(tag: str, attributes: str, in_main: bool) -> int:
     """Whether an element holds no main text, by its tag, role, class or id; the page itself and ``main`` always may."""
     if tag in ("html", "body", "main"):
-        return False
+        return OPEN
     if tag in BOILER_TAGS or tag == "header" and not in_main:
-        return True
+        return CLOSED
+    found = OPEN
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "") or name == "role" and value in BOILER_ROLES:
-            return True
-        if name in ("class", "id") and any(map(furniture, value.split())):
-            return True
-    return False
+            return CLOSED
+        for x in filter(furniture, value.split()) if name in ("class", "id") else ():
+            parts = [p for p in re.split(r"[^a-z]+", x) if p]
+            found = max(found, BY_LAYOUT if all(p in LAYOUT_NAMES or p in PLACE_WORDS for p in parts) else CLOSED)
+    return found
+
+
+def reopened(found: list[tuple]) -> set[int]:
+    """The containers kept out by a layout name whose text is the page's main text after all.
+
+    Only where no other main element has text: those around main elements, or
+    else the one with more than half of the words that aren't kept out for good.
+    """
+    if any(main and kept == OPEN for _, _, _, kept, main, _, _ in found):
+        return set()
+    around = {root for _, _, _, kept, main, _, root in found if kept == BY_LAYOUT and main and root}
+    if around:
+        return around
+    words: dict[int, float] = {}
+    for _, n, _, kept, _, _, root in found:
+        if kept != CLOSED:
+            words[root if kept == BY_LAYOUT else 0] = words.get(root if kept == BY_LAYOUT else 0, 0.0) + n
+    return {root for root, n in words.items() if root and 2 * n > sum(words.values())}
 
 
 def blocks(html: str | None) -> list[tuple]:
@@ -67,16 +97,16 @@ def blocks(html: str | None) -> list[tuple]:
     ends at the border of a block-level element; ``br`` is white space.
     """
     out, piece, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, below boilerplate, below main
+    stack: list[tuple[str, int, bool, int]] = []  # tag, how kept out, below main, number of the layout container
     count: dict[str, int] = {}
-    links = heading = 0
+    links = heading = containers = 0
 
-    def close(boiler: bool, main: bool) -> None:
+    def close(kept: int, main: bool, root: int) -> None:
         nonlocal linked
         text = " ".join("".join(piece).split())
         if text:
             n = text.count(" ") + 1
-            out.append((text, float(n), float(min(linked, n)), float(boiler), float(main), float(heading)))
+            out.append((text, float(n), float(min(linked, n)), kept, main, float(heading), root))
         piece.clear()
         linked = 0
 
@@ -93,7 +123,7 @@ def blocks(html: str | None) -> list[tuple]:
     while at < len(html):
         m = TOKEN.match(html, at)
         token, at = m[0], m.end()
-        boiler, main = stack[-1][1:] if stack else (False, False)
+        kept, main, root = stack[-1][1:] if stack else (OPEN, False, 0)
         if token[0] != "<" or token == "<":
             text = unescape(token)
             piece.append(text)
@@ -104,7 +134,7 @@ def blocks(html: str | None) -> list[tuple]:
             continue
         tag = named[1].lower()
         if tag in BLOCK_TAGS and tag not in UNREAD_TAGS:
-            close(boiler, main)
+            close(kept, main, root)
             heading = int(tag in ("h1", "h2", "h3", "h4", "h5", "h6") and token[1] != "/")
         elif tag == "br":
             piece.append(" ")
@@ -128,13 +158,19 @@ def blocks(html: str | None) -> list[tuple]:
                         break
                     if name in BLOCK_TAGS:
                         break
-        boiler, main = stack[-1][1:] if stack else (False, False)
+        kept, main, root = stack[-1][1:] if stack else (OPEN, False, 0)
+        own = boilerplate(tag, token[len(tag) + 1 : -1], main or tag == "article")
+        if own == BY_LAYOUT:
+            # Within a main element a layout name is no wrapper of it, and has no number to be opened by.
+            containers += 1
+            root = 0 if main else containers
         main = main or tag in ("article", "main")
-        stack.append((tag, boiler or boilerplate(tag, token[len(tag) + 1 : -1], main), main))
+        stack.append((tag, max(kept, own), main, root))
         count[tag] = count.get(tag, 0) + 1
         links += tag == "a"
-    close(*(stack[-1][1:] if stack else (False, False)))
-    return out
+    close(*(stack[-1][1:] if stack else (OPEN, False, 0)))
+    opened = reopened(out)
+    return [(text, n, in_links, float(kept == CLOSED or kept == BY_LAYOUT and root not in opened), float(main), head) for text, n, in_links, kept, main, head, root in out]
 
 
 def block_frame(pages: DataFrame) -> DataFrame:
@@ -162,11 +198,15 @@ FURNITURE = [
 WORDY = [("cookie-notice", "dialog", [("p", 24, 2), ("p", 1, 1)]), ("ad", "aside", [("p", 9, 0)]), ("comments", "", [("h3", 2, 0), ("p", 45, 0), ("p", 20, 0)]), ("newsletter", "form", [("p", 14, 0), ("p", 2, 0)])]
 
 
+#: Markups in which class names tell furniture.
+NAMED = ("names", "names without article")
+
+
 def labelled_pages() -> list[tuple[str, list[int]]]:
     """The small labelled table: pages made of the parts above, and for each block of them whether it is main text.
 
-    Four markups: ``article`` with tags that tell furniture, ``article`` with class names, ``article`` with bare
-    furniture outside it, and bare elements alone. Orders turn, so that every kind of block stands before and after
+    Five markups: ``article`` with tags that tell furniture, ``article`` with class names, class names without
+    ``article``, ``article`` with bare furniture outside it, and bare elements alone. Orders turn, so that every kind of block stands before and after
     every other. Where names and places tell nothing, only furniture of links and texts of six words or more are in the pages.
     """
 
@@ -177,22 +217,23 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
     def place(some, markup):
         html, labels = "", []
         for name, tag, held in some:
-            tag, mark = (tag, "") if markup == "tags" and tag else ("div", f" class='{name}'" if markup in ("tags", "names") else "")
+            tag, mark = (tag, "") if markup == "tags" and tag else ("div", f" class='{name}'" if markup in ("tags", *NAMED) else "")
             html += f"<{tag}{mark}>" + "".join(block(*b) for b in held) + f"</{tag}>"
             labels += [0] * len(held)
         return html, labels
 
     def page(before, body, inside, after, markup):
         (start, b), (end, a), (under, i) = (place(x, markup) for x in (before, after, inside))
-        around = "div" if markup == "bare without article" else "article"
+        around = "div" if markup.endswith("without article") else "article"
         return f"<body>{start}<{around}>{''.join(block(*x) for x in body)}{under}</{around}>{end}</body>", b + [1] * len(body) + i + a
 
     out = []
     for turn in range(len(BODY)):
-        for markup in ("tags", "names", "bare"):
+        for markup in ("tags", "names", "bare", "names without article"):
             body = [BODY[0]] + BODY[1 + turn :] + BODY[1 : 1 + turn]
             body = body[: 2 + 3 * turn % len(body)]
-            body = body + BODY_LINKS[turn % 2 :] if turn % 3 else body[:1] + BODY_LINKS[: 1 + turn % 3] + body[1:]
+            if markup != "names without article":  # there a bare list of links may be either
+                body = body + BODY_LINKS[turn % 2 :] if turn % 3 else body[:1] + BODY_LINKS[: 1 + turn % 3] + body[1:]
             parts = FURNITURE + WORDY
             parts = parts[turn % len(parts) :] + parts[: turn % len(parts)]
             cut = 1 + turn % (len(parts) - 1)

@@ -24,6 +24,14 @@ PAGES = {
     "data attributes": (page(f"<div data-class='share' data-hidden='x'><p>{LONG}</p></div>"), [LONG]),
     "no article": (f"<body><div>{LINKS}</div><div><h1>About the garden of the house</h1><p>{LONG}</p><p>{LONG} again</p></div><div>{LINKS}</div></body>", ["About the garden of the house", LONG, f"{LONG} again"]),
     "no article, a paragraph before links": (f"<body><div>{LINKS}</div><div><p>{LONG}</p><p>Seven words are here before the links.</p></div><div><ul><li><a href='/n'>Other news of the day</a></li>{LINKS}</ul></div></body>", [LONG, "Seven words are here before the links."]),
+    "words in attribute values": (page(f'<p title="the hidden truth">{LONG}</p><p data-note="my class=ad here">One more.</p><p alt=\'id="sidebar" style="display:none"\' class=intro>And one.</p>'), [LONG, "One more.", "And one."]),
+    "article in a layout column": (f"<body><div class='sidebar-left'>{LINKS}</div><div class='sidebar-right'><article><h1>T</h1><p>{LONG}</p><div class='share'><p>Share this text now</p></div></article></div></body>", ["T", LONG]),
+    "article in a shared post": (f"<body><nav>{LINKS}</nav><div class='post share'><article><p>{LONG}</p></article></div></body>", [LONG]),
+    "most words in a layout column": (f"<body><div class='menu'>{LINKS}</div><div class='sidebar-content'><p>{LONG}</p><p>{LONG} again</p></div></body>", [LONG, f"{LONG} again"]),
+    "a sidebar beside the article": (page(f"<p>{LONG}</p>", after=f"<div class='sidebar'><p>{LONG} {LONG} {LONG}</p></div>"), [LONG]),
+    "run-together comments": (f"<body><div class='post'><p>{LONG}</p><p>{LONG} more</p></div><ol class='commentlist'><li>{LONG} me too</li></ol><div class='comment-respond'><p>Leave a reply to this text right here</p></div></body>", [LONG, f"{LONG} more"]),
+    "commentary": (page(f"<div class='commentary'><p>{LONG}</p></div>"), [LONG]),
+    "notices and sponsors": (page(f"<p>{LONG}</p><div class='sponsored-content'><p>A text from our sponsor about things to buy</p></div>", before="<div class='cc-window'><p>This site uses cookies to be a better one for all</p></div>"), [LONG]),
     "text outside the article": (page(f"<p>{LONG}</p>", before="<div>Skip to the text</div>", after="<div>A word from nobody at all in this place</div>"), [LONG]),
 }
 
