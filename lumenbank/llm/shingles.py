@@ -22,6 +22,9 @@ SHINGLE = 5
 #: shingles; any order finds the same pairs, at more or less cost.
 SAMPLE, MOST_COMMON = 16, 200_000
 
+#: Hubs that sets apart are held against before all pairs of a group.
+ROUNDS = 4
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -129,24 +132,40 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) edges between near copies, enough of them to connect whatever is linked.
 
     Sets that have a shingle of their prefixes in common are first held
-    against the least of them; then those pairs that no chain of the first
-    links joins. So a dense group is joined without all of its pairs. Both
-    times, pairs whose sizes or places rule them out are passed over.
+    against one of them, the hub: the one whose prefix has it earliest, as that
+    rules out least. What is linked then has one root. In each of the next
+    ``ROUNDS``, while that links anything, sets of other roots are held against another hub of
+    the group's least root; and last those pairs meet that no chain of links
+    joins. So a dense group is joined without all of its pairs. Each time,
+    pairs whose sizes or places rule them out are passed over.
     """
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     group = W.partitionBy("shingle")
-    shared = rows.withColumns({"hub": F.min(F.struct("node", "size", "place")).over(group), "last": F.max("node").over(group)})
-    shared = saved(shared.filter("hub.node < last").drop("last"))
+    shared = rows.withColumns({"hub": F.min(F.struct("place", "node", "size")).over(group), "n": F.count("*").over(group)})
+    shared = saved(shared.filter("n > 1").drop("n"))
     # The first shingle that two sets share leaves no more in common than what follows it.
     may = lambda x: F.expr(f"5 * least(size, {x}size) >= 4 * greatest(size, {x}size) AND 9 * least(size - place, {x}size - {x}place) >= 4 * (size + {x}size)")
-    first = saved(shared.filter("node <> hub.node").filter(may("hub.")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    found = saved(near_copies(first, docs, nodes))
-    roots = saved(components(found))
-    apart = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = saved(apart.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).filter("low < high").drop("low", "high"))
+    pair = lambda x: [F.least("node", x).alias("a"), F.greatest("node", x).alias("b")]
+    tried = saved(shared.filter("node <> hub.node").filter(may("hub.")).select(*pair("hub.node")).distinct())
+    shared = shared.drop("hub")
+    found = saved(near_copies(tried, docs, nodes))
+    for turn in range(ROUNDS + 1):
+        roots = components(found)
+        apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shared = apart = saved(apart.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).filter("low < high").drop("high"))
+        shared = shared.drop("root", "low")  # what has one root now has one later too
+        if turn == ROUNDS:
+            break
+        hub = F.min(F.when(F.col("root") == F.col("low"), F.struct("place", F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "size"))).over(group)
+        asked = saved(apart.withColumn("hub", hub).filter("root <> low").filter(may("hub.")).select(*pair("hub.node")).distinct().join(tried, ["a", "b"], "left_anti"))
+        more = saved(near_copies(asked, docs, nodes))
+        tried, found = saved(tried.unionByName(asked)), saved(found.unionByName(more))
+        if more.isEmpty():
+            break
+    apart = apart.drop("low")
     other = apart.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "root")])
     met = apart.join(other, "shingle").filter("node < other_node AND root <> other_root").filter(may("other_"))
-    rest = saved(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = saved(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return found.unionByName(near_copies(rest, docs, nodes))
 
 

@@ -129,3 +129,59 @@ def test_tokens_of_rows(spark):
     rows = [(1, "one text", "s"), (1, "other text", "s"), (None, long, "s"), (None, long, "s"), (2, None, "s"), (2, "", "s")]
     got = Counter((r.doc_id, r.n_tokens) for r in byte_bpe.token_digests(docs_of(spark, rows), path, pattern, 1_000, 100).collect())
     assert got == Counter((i, len(encoding.encode_ordinary(t or ""))) for i, t, _ in rows)
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_by_stars_and_in_one_task(spark, few):
+    """Chains, stars, loops and repeated edges: the same roots by rounds of stars and by one task."""
+    import random
+
+    from lumenbank.llm.graph import components
+
+    draw = random.Random(few)
+    edges = [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 30)] + [(7, 7), (5, 3), (3, 5), (5, 3)] + [(draw.randrange(3000, 3300), draw.randrange(3000, 3300)) for _ in range(160)] + [(-4, 9_000_000_000)]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    want = {(x, top(x)) for a, b in edges if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(5), few).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_dense_group_of_edited_copies(spark):
+    """Many edited copies of one text, most pairs of them near 0.8: groups are those of all links, found by comparing all pairs."""
+    import random
+
+    from lumenbank.llm import shingles
+
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(draw.randrange(2, 8)):
+            words[draw.randrange(150)] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long")
+    sets = [set(shingles.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    kept = {r.doc_id for r in shingles.keep_one(docs).collect()}
+    assert kept == {i for i in range(len(texts)) if top(i) == i} and 1 < len(kept) < 100
