@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenbank.operators.bank import largest_remainder
+from lumenbank.operators.ranks import numbered
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -17,14 +18,20 @@ def hash_order(key: Column, seed: int) -> Column:
 
 
 def shuffled(rows: DataFrame, seed: int, keys: list[str], key: str = "id") -> DataFrame:
-    """Adds ``place``, a seeded order of each group."""
+    """Adds ``place``, a seeded order of each group; for those who take the first few, which Spark limits before rows meet."""
     return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(hash_order(F.col(key), seed), key)))
 
 
+def shuffled_whole(rows: DataFrame, seed: int, keys: list[str], key: str = "id") -> DataFrame:
+    """The same order of whole groups, none of which is held by a task."""
+    turn = rows.withColumn("_turn", hash_order(F.col(key), seed))
+    return numbered(turn, keys, [F.col("_turn"), F.col(key)]).drop("_turn")
+
+
 def balanced_values(rows: DataFrame, values: list[str], seed: int, keys: list[str], name: str = "value") -> DataFrame:
     """Cycles ``values`` over each group's shuffled rows, so counts differ by one at most."""
-    rows = shuffled(rows, seed, keys)
-    return rows.withColumn(name, F.element_at(F.array(*map(F.lit, values)), F.pmod(F.col("place") - 1, F.lit(len(values))) + 1))
+    rows = shuffled_whole(rows, seed, keys)
+    return rows.withColumn(name, F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("place") - 1, F.lit(len(values))) + 1).cast("int")))
 
 
 def rotation_pick(keys: DataFrame, pool: list[str], name: str = "pick") -> DataFrame:

@@ -46,3 +46,15 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], place: str = "pl
     runs = counted(saved(runs.select(*keys, "_part", (earlier - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias(size))))
     joined = rows.join(runs, same(rows, runs, keys) & (part == F.col("_part")))
     return joined.select(*[rows[c] for c in df.columns], (number + F.col("_shift")).alias(place), size)
+
+
+def tiles(n: int, place: str = "place", size: str = "size") -> Column:
+    """The tile, from 1 to ``n``, of a place among ``size``: the first ones have a row more where they don't divide."""
+    q, r = F.floor(F.col(size) / n), F.col(size) % n
+    wide = r * (q + 1)
+    return F.when(F.col(place) < wide, F.floor(F.col(place) / (q + 1))).otherwise(r + F.floor((F.col(place) - wide) / F.greatest(q, F.lit(1)))).cast("int") + 1
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Adds ``name``, from 1: what row_number() gives, without a task that holds a whole key."""
+    return placed(rows, keys, order, "_place", "_size").withColumn(name, F.col("_place") + 1).drop("_place", "_size")

@@ -103,9 +103,10 @@ def slice_report(spark, sf):
     return rounded(s.select("cluster", "level", "n", "kept", (F.col("n") - F.col("kept")).alias("dropped"), (F.col("sets") / F.col("n")).alias("set_share")), "set_share")
 
 
-@query("str19_claim_words", f"{BANK}, t AS (SELECT id, list_distinct({TOKENS.format('substr(explanation, 1, 40)')}) AS c, list_distinct({TOKENS.format('explanation')}) AS p FROM bank) SELECT id, coalesce(len(list_intersect(c, p)) / nullif(len(c), 0)::DOUBLE, 0) >= 0.6 AS supported FROM t")
+@query("str19_claim_words", f"{BANK}, t AS (SELECT id, list_distinct({TOKENS.format("CASE answer WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c ELSE d END")}) AS c, list_distinct({TOKENS.format('explanation')}) AS p FROM bank) SELECT id, coalesce(len(list_intersect(c, p)) / nullif(len(c), 0)::DOUBLE, 0) >= 0.6 AS supported FROM t")
 def claim_words(spark, sf):
-    rows = bank(spark, sf).select("id", F.array_distinct(T.tokens(F.substring("explanation", 1, 40))).alias("c"), F.array_distinct(T.tokens(F.col("explanation"))).alias("p"))
+    """Whether the explanation speaks of the keyed option: six in ten of its words."""
+    rows = bank(spark, sf).select("id", F.array_distinct(T.tokens(F.col("options")[F.col("answer")])).alias("c"), F.array_distinct(T.tokens(F.col("explanation"))).alias("p"))
     return rows.select("id", (T.coverage(F.col("c"), F.col("p")) >= 0.6).alias("supported"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenbank.operators import bank as B
 from lumenbank.operators import compose as C
 from lumenbank.operators import mastery as M
+from lumenbank.operators.ranks import numbered, placed, tiles
 from lumenbank.plans.progress import READY_SQL, WHOLE, rounded
 from lumenbank.sources.adapters import ATTEMPTS_SQL, BANK_SQL, LETTERS, attempts, bank, blueprint, table, universe
 
@@ -27,12 +28,12 @@ def query(name: str, sql: str | None = None):
 
 @query("ord03_seeded_shuffle", f"{BANK} SELECT id, row_number() OVER (PARTITION BY cluster ORDER BY sha256(id || ':7'), id) AS place FROM bank")
 def seeded_shuffle(spark, sf):
-    return C.shuffled(bank(spark, sf), 7, ["cluster"]).select("id", "place")
+    return C.shuffled_whole(bank(spark, sf).select("id", "cluster"), 7, ["cluster"]).select("id", "place")
 
 
 @query("ord05_balanced_letters", f"{BANK} SELECT id, substr('ABCD', ((row_number() OVER (PARTITION BY file ORDER BY sha256(id || ':11'), id) - 1) % 4 + 1)::INT, 1) AS letter FROM bank")
 def balanced_letters(spark, sf):
-    return C.balanced_values(bank(spark, sf), LETTERS, 11, ["file"], "letter").select("id", "letter")
+    return C.balanced_values(bank(spark, sf).select("id", "file"), LETTERS, 11, ["file"], "letter").select("id", "letter")
 
 
 @query("ord06_rotation_pick", "SELECT p_name || ':' || p_partkey AS key, ['north', 'south', 'east', 'west', 'up'][('0x' || substr(sha256(p_name || ':' || p_partkey), 1, 15))::BIGINT % 5 + 1] AS pick FROM part")
@@ -178,8 +179,10 @@ def rank_of_row(spark, sf):
 def next_ids(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") < 40).alias("has"))
     top = rows.filter("has").agg(F.max("p_partkey").alias("m"))
-    w = W.partitionBy("has").orderBy("p_partkey")
-    return rows.join(F.broadcast(top)).select("p_partkey", F.when(F.col("has"), F.col("p_partkey")).otherwise(F.col("m") + F.row_number().over(w)).alias("new_id"))
+    # Only rows without an id are numbered, beside the one row of the highest id.
+    fresh = numbered(rows.filter("NOT has").select("p_partkey"), [], [F.col("p_partkey")])
+    fresh = fresh.join(F.broadcast(top)).select("p_partkey", (F.col("m") + F.col("place")).alias("new_id"))
+    return rows.filter("has").select("p_partkey", F.col("p_partkey").cast("long").alias("new_id")).unionByName(fresh)
 
 
 @query("agg41_event_tags", "SELECT event_type, string_agg(DISTINCT k, ',' ORDER BY k) AS tags, count(*) AS terms, count(*) FILTER (WHERE value >= 60) * 2 >= count(*) AS half_hard FROM (SELECT event_type, value, regexp_extract(props, '(\\d+)', 1) AS k FROM events) GROUP BY event_type")
@@ -241,13 +244,13 @@ def duplicate_homes(spark, sf):
 
 @query("dom16_audit_shards", f"{BANK}, s AS (SELECT id, ntile(4) OVER (PARTITION BY cluster ORDER BY id) AS shard, cluster FROM bank) SELECT cluster, shard, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM s GROUP BY ALL")
 def audit_shards(spark, sf):
-    rows = bank(spark, sf).withColumn("shard", F.ntile(4).over(W.partitionBy("cluster").orderBy("id")))
+    rows = placed(bank(spark, sf).select("id", "cluster"), ["cluster"], [F.col("id")]).withColumn("shard", tiles(4))
     return rows.groupBy("cluster", "shard").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query("dom15_crossed_design", f"{BANK} SELECT id, rater, CASE WHEN (grp + rater) % 2 = 0 THEN 'treated' ELSE 'control' END AS arm FROM (SELECT id, (row_number() OVER (PARTITION BY file ORDER BY sha256(id || ':13'), id) - 1) % 2 AS grp FROM bank), range(2) r(rater)")
 def crossed_design(spark, sf):
-    rows = C.shuffled(bank(spark, sf), 13, ["file"]).select("id", ((F.col("place") - 1) % 2).alias("grp"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("rater"))
+    rows = C.shuffled_whole(bank(spark, sf).select("id", "file"), 13, ["file"]).select("id", ((F.col("place") - 1) % 2).alias("grp"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("rater"))
     return rows.select("id", "rater", F.when((F.col("grp") + F.col("rater")) % 2 == 0, "treated").otherwise("control").alias("arm"))
 
 

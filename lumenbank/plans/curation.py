@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenbank.functions import text as T
 from lumenbank.operators import bank as B
+from lumenbank.operators.ranks import numbered, placed, tiles
 from lumenbank.plans.progress import rounded
 from lumenbank.sources.adapters import BANK_SQL, LETTERS, LEVELS, TIERS, bank, hashed_bank, table
 
@@ -319,7 +320,7 @@ def dimension_lists(spark, sf):
 
 @query("win17_even_batches", f"{BANK} SELECT id, ntile(7) OVER (PARTITION BY cluster ORDER BY file, pos) AS batch FROM bank")
 def even_batches(spark, sf):
-    return bank(spark, sf).select("id", F.ntile(7).over(W.partitionBy("cluster").orderBy("file", "pos")).alias("batch"))
+    return placed(bank(spark, sf).select("id", "cluster", "file", "pos"), ["cluster"], [F.col("file"), F.col("pos")]).select("id", tiles(7).alias("batch"))
 
 
 @query("win07_top_n_per_group", f"{BANK} SELECT pi, id, place FROM (SELECT pi, id, row_number() OVER (PARTITION BY pi ORDER BY id DESC) AS place FROM bank) WHERE place <= 3")
@@ -329,15 +330,15 @@ def top_n(spark, sf):
 
 @query("win14_stratified_interleave", f"{BANK} SELECT id, row_number() OVER (PARTITION BY file ORDER BY round((nth - 0.5) / size, 9), difficulty, id) AS place FROM (SELECT id, file, difficulty, row_number() OVER (PARTITION BY file, difficulty ORDER BY pos) AS nth, count(*) OVER (PARTITION BY file, difficulty) AS size FROM bank)")
 def interleave(spark, sf):
-    w = W.partitionBy("file", "difficulty")
-    rows = bank(spark, sf).withColumns({"nth": F.row_number().over(w.orderBy("pos")), "size": F.count("*").over(w)})
-    return rows.select("id", F.row_number().over(W.partitionBy("file").orderBy(F.round((F.col("nth") - 0.5) / F.col("size"), 9), "difficulty", "id")).alias("place"))
+    rows = placed(bank(spark, sf).select("id", "file", "difficulty", "pos"), ["file", "difficulty"], [F.col("pos")], "nth")
+    rows = rows.withColumn("at", F.round((F.col("nth") + 0.5) / F.col("size"), 9))
+    return numbered(rows, ["file"], [F.col("at"), F.col("difficulty"), F.col("id")]).select("id", "place")
 
 
 @query("win15_round_robin", f"{BANK} SELECT id, row_number() OVER (PARTITION BY cluster ORDER BY nth, area) AS place FROM (SELECT id, cluster, area, row_number() OVER (PARTITION BY cluster, area ORDER BY pos) AS nth FROM bank)")
 def round_robin(spark, sf):
-    rows = bank(spark, sf).withColumn("nth", F.row_number().over(W.partitionBy("cluster", "area").orderBy("pos")))
-    return rows.select("id", F.row_number().over(W.partitionBy("cluster").orderBy("nth", "area")).alias("place"))
+    rows = numbered(bank(spark, sf).select("id", "cluster", "area", "pos"), ["cluster", "area"], [F.col("pos")], "nth")
+    return numbered(rows, ["cluster"], [F.col("nth"), F.col("area")]).select("id", "place")
 
 
 @query("ord01_coverage_summary", f"{BANK}, n AS (SELECT cluster, area, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, area) AS place FROM bank GROUP BY cluster, area) SELECT cluster, string_agg(area, ', ' ORDER BY place) FILTER (WHERE place <= 3) AS top, string_agg(area, ', ' ORDER BY place) FILTER (WHERE place IN (4, 5)) AS next, greatest(count(*) - 5, 0) AS rest FROM n GROUP BY cluster")
@@ -356,7 +357,6 @@ def figure_rate(spark, sf):
 @query("agg31_order_statistic", "SELECT lang, list_sort(list(n_chars))[least(count(*) - 1, (0.9 * count(*))::DOUBLE::INT - CASE WHEN (0.9 * count(*))::DOUBLE::INT > 0.9 * count(*) THEN 1 ELSE 0 END) + 1] AS p90, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY lang")
 def order_statistic(spark, sf):
     rows = table(spark, sf, "documents").select("lang", "n_chars")
-    w = W.partitionBy("lang").orderBy("n_chars")
-    rows = rows.withColumns({"at": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy("lang"))})
+    rows = placed(rows, ["lang"], [F.col("n_chars")], "at", "n")
     pick = lambda i: F.max(F.when(F.col("at") == i, F.col("n_chars")))
     return rows.groupBy("lang").agg(pick(F.least(F.col("n") - 1, F.floor(F.lit(0.9) * F.col("n")))).alias("p90"), pick(F.floor(F.col("n") / 2)).alias("upper_median"))

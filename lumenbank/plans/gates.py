@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenbank.functions import text as T
 from lumenbank.operators import bank as B
 from lumenbank.operators import checks as K
+from lumenbank.operators.ranks import numbered
 from lumenbank.plans.curation import NORM, TOKENS
 from lumenbank.plans.progress import rounded
 from lumenbank.sources import sinks as S
@@ -361,8 +362,8 @@ def universe_membership(spark, sf):
 @query("ord07_enum_order", f"{BANK} SELECT id, row_number() OVER (PARTITION BY cluster ORDER BY CASE level WHEN 'District' THEN 0 WHEN 'Association' THEN 1 ELSE 2 END, CASE difficulty WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id) AS place FROM bank")
 def enum_order(spark, sf):
     rank = lambda c, v: F.array_position(F.array(*map(F.lit, v)), F.col(c))
-    w = W.partitionBy("cluster").orderBy(rank("level", ["District", "Association", "ICDC"]), rank("difficulty", TIERS), "id")
-    return bank(spark, sf).select("id", F.row_number().over(w).alias("place"))
+    rows = bank(spark, sf).select("id", "cluster", rank("level", ["District", "Association", "ICDC"]).alias("level"), rank("difficulty", TIERS).alias("tier"))
+    return numbered(rows, ["cluster"], [F.col("level"), F.col("tier"), F.col("id")]).select("id", "place")
 
 
 @query("ord09_weighted_pick", f"{BANK}, a AS (SELECT cluster, area, count(DISTINCT pi) AS weight FROM bank GROUP BY ALL), k AS (SELECT cluster, area, weight, -ln((('0x' || substr(sha256(cluster || '/' || area), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE) / weight AS key FROM a) SELECT cluster, area, weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY key, area) AS nth FROM k) WHERE nth <= 2")
@@ -418,14 +419,14 @@ def assemble(spark, sf):
     rows = hashed_bank(spark, sf).filter(F.forall(B.values(F.col("options")), lambda o: F.length(o) > 0))
     rows = B.keep_first(rows, ["content_hash"], ["file", "pos"])
     rows = B.keep_first(rows, ["stem_hash", "cluster", "level"], ["file", "pos"])
-    return rows.select("id", "cluster", F.row_number().over(W.partitionBy("cluster").orderBy("file", "pos")).alias("new_id"))
+    return numbered(rows.select("id", "cluster", "file", "pos"), ["cluster"], [F.col("file"), F.col("pos")], "new_id").select("id", "cluster", "new_id")
 
 
 @query("dom14_repair_payload", f"{BANK}, l AS (SELECT id, file, list_sort([length(a), length(b), length(c), length(d)]) AS s FROM bank) SELECT id, s[4] - s[3] AS gap, row_number() OVER (PARTITION BY file ORDER BY s[4] - s[3] DESC, id) AS place FROM l WHERE s[4] - s[3] >= 2")
 def repair_payload(spark, sf):
     lens = F.array_sort(F.transform(B.values(F.col("options")), F.length))
     rows = bank(spark, sf).select("id", "file", (F.get(lens, F.lit(3)) - F.get(lens, F.lit(2))).alias("gap")).filter("gap >= 2")
-    return rows.select("id", "gap", F.row_number().over(W.partitionBy("file").orderBy(F.desc("gap"), "id")).alias("place"))
+    return numbered(rows, ["file"], [F.desc("gap"), F.col("id")]).select("id", "gap", "place")
 
 
 @query("join12_arm_verification", f"{BANK}, t AS (SELECT id, pos, question AS q, CASE WHEN id % 6 = 0 THEN upper(question) ELSE question END AS q2, a, CASE WHEN id % 2 = 0 THEN a || '.' ELSE a END AS a2 FROM bank) SELECT count(*) AS n, count(*) FILTER (WHERE q <> q2) AS stem_drift, count(*) FILTER (WHERE a = a2) AS same_options FROM t")

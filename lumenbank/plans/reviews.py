@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenbank.functions import text as T
 from lumenbank.operators import bank as B
 from lumenbank.operators import mastery as M
+from lumenbank.operators.ranks import placed, tiles
 from lumenbank.plans.curation import NORM, TOKENS
 from lumenbank.plans.gates import HALF
 from lumenbank.plans.progress import STATS, rounded
@@ -243,8 +244,7 @@ def harvest_merge(spark, sf):
 
 @query("dom30_tag_payload", f"{BANK} SELECT id, ntile(5) OVER (PARTITION BY cluster ORDER BY id) AS batch FROM bank")
 def tag_payload(spark, sf):
-    rows = bank(spark, sf)
-    return rows.select("id", F.ntile(5).over(W.partitionBy("cluster").orderBy("id")).alias("batch"))
+    return placed(bank(spark, sf).select("id", "cluster"), ["cluster"], [F.col("id")]).select("id", tiles(5).alias("batch"))
 
 
 @query("dom31_arm_scores", f"{BANK} SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS arm, count(*) AS n, round(avg(length(question)), 6) AS chars, count(*) FILTER (WHERE regexp_matches(explanation, '[#$%&]{{2,}}')) AS flagged FROM bank GROUP BY 1")
