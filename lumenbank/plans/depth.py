@@ -9,11 +9,12 @@ from lumenbank.functions import lines as L
 from lumenbank.functions import shapes
 from lumenbank.functions import text as T
 from lumenbank.operators import decks as D
-from lumenbank.operators import authored, draws, harvest, leakage, matching, overlay, rotation
+from lumenbank.operators import mastery as M
+from lumenbank.operators import authored, draws, harvest, leakage, matching, overlay, planning, rotation
 from lumenbank.plans.curation import GRAMS, NORM, TOKENS
 from lumenbank.plans.progress import LOG, rounded
 from lumenbank.sources import store
-from lumenbank.sources.adapters import BANK_SQL, attempts, bank, hashed_bank, table
+from lumenbank.sources.adapters import BANK_SQL, attempts, bank, blueprint, hashed_bank, table, universe
 from lumenbank.streaming.live import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -301,3 +302,26 @@ def batch_findings(spark, sf):
         F.lit("easy").alias("difficulty"), F.lit("why").alias("explanation"), F.lit("p").alias("pi"), F.col("l_returnflag").alias("area"),
     )
     return authored.check_batch(rows, rows.select("cand_id", F.when(F.col("area") == "R", "A").otherwise(F.col("answer")).alias("want_answer")).dropDuplicates(["cand_id"]))
+
+
+@query("dom05_day_plan")
+def day_plan(spark, sf):
+    """Each user's tasks of the day from the whole log, with batches of misses of their own, dismissed milestones and quizzes that are under way; held against a loop in tests."""
+    log = attempts(spark, sf)
+    stats = M.universe_stats(log, universe(spark, sf))
+    areas = M.area_mastery(stats)
+    ready = M.readiness(areas, blueprint(spark)).groupBy("user_id").agg(F.avg("readiness").alias("readiness"))
+    users = log.groupBy("user_id").agg(F.count("*").cast("int").alias("tries")).join(ready, "user_id")
+    users = users.select("user_id", "tries", "readiness", F.when(F.col("readiness") < 0.5, "behind").otherwise("on track").alias("pace"), F.when(F.col("user_id") % 2 == 0, (F.col("user_id") * 3).cast("int")).alias("days_left"))
+    misses = M.error_log(log).select("user_id", "question_id", "resolved")
+    # A batch is five questions at most, so no user's misses are gathered.
+    first = misses.withColumn("nth", F.row_number().over(W.partitionBy("user_id").orderBy("question_id"))).filter("nth <= 5 AND user_id % 3 = 0")
+    custom = first.groupBy("user_id").agg(F.array_sort(F.collect_list("question_id")).alias("miss_ids")).select(
+        "user_id", F.lit("misses").alias("task_id"), F.lit("fix-misses").alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("cluster", "area", "pi")], F.size("miss_ids").alias("size"), "miss_ids", F.lit(0).alias("within")
+    )
+    frozen = custom.limit(0)
+    dismissed = users.filter("user_id % 4 = 0").select("user_id", F.lit("milestone").alias("task_id"))
+    available = log.groupBy("cluster", "pi").agg(F.count_distinct("question_id").cast("int").alias("n"))
+    started = log.groupBy("user_id").agg(F.max("session_id").alias("session_id")).withColumn("task_id", F.lit("challenge"))
+    quizzes = started.select("user_id", "task_id", F.lit(7).alias("n"))
+    return planning.day_plan(planning.recommended(users, stats, areas), custom, frozen, dismissed, available, quizzes, started, log, misses, 200)
