@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenbank.functions import lines as L
-from lumenbank.functions import shapes
+from lumenbank.functions import patterns, shapes
 from lumenbank.functions import text as T
 from lumenbank.operators import decks as D
 from lumenbank.operators import mastery as M
-from lumenbank.operators import authored, draws, harvest, leakage, matching, overlay, planning, rotation
+from lumenbank.operators import authored, census, draws, harvest, leakage, matching, overlay, planning, rotation
+from lumenbank.operators.ranks import numbered
 from lumenbank.plans.curation import GRAMS, NORM, TOKENS
 from lumenbank.plans.progress import LOG, rounded
 from lumenbank.sources import store
@@ -325,3 +326,43 @@ def day_plan(spark, sf):
     started = log.groupBy("user_id").agg(F.max("session_id").alias("session_id")).withColumn("task_id", F.lit("challenge"))
     quizzes = started.select("user_id", "task_id", F.lit(7).alias("n"))
     return planning.day_plan(planning.recommended(users, stats, areas), custom, frozen, dismissed, available, quizzes, started, log, misses, 200)
+
+
+OPT = "CASE letter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c ELSE d END"
+
+
+@query("udf01_option_patterns", f"""{BANK}, o AS (SELECT id, letter, trim({OPT}, ' ') AS o, [trim(a, ' '), trim(b, ' '), trim(c, ' '), trim(d, ' ')] AS l, ascii(letter) - 64 AS k FROM bank, (VALUES ('A'), ('B'), ('C'), ('D')) v(letter)),
+    r AS (SELECT *, [x for x, i in l if i <> k] AS others FROM o)
+    SELECT id, letter, 'longest' AS pattern FROM r WHERE length(o) > list_max([length(x) for x in others]) UNION ALL SELECT id, letter, 'only number' FROM r WHERE regexp_matches(o, '[0-9]') AND NOT list_bool_or([regexp_matches(x, '[0-9]') for x in others])
+    UNION ALL SELECT id, letter, 'absolute' FROM r WHERE regexp_matches(lower(o), '\\b(always|never|all|none|only|every|must)\\b') UNION ALL SELECT id, letter, 'hedge' FROM r WHERE regexp_matches(lower(o), '\\b(may|might|could|often|usually|sometimes)\\b')
+    UNION ALL SELECT id, letter, 'own' FROM r WHERE regexp_matches(lower(o), '^th.*e$')""")
+def option_patterns(spark, sf):
+    """Built-in matchers and one that a user gives."""
+    registry = patterns.Registry()
+    registry.add_given("own=^th.*e$")
+    return registry.find(bank(spark, sf))
+
+
+@query("join30_lens_report", """WITH p AS (SELECT lens, rater FROM range(2) l(lens), range(3) r(rater)), f AS (SELECT DISTINCT lens, rater, p_partkey AS id FROM part, p WHERE (p_size + 7 * rater + 3 * lens) % (9 + 20 * lens * rater) < 4 OR p_partkey % 50 = 0),
+    s AS (SELECT lens, rater, count(*) AS n FROM f GROUP BY ALL), i AS (SELECT lens, id, count(*) AS v FROM f GROUP BY ALL), k AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 0)
+    SELECT lens, 3 AS raters, count(*) AS by_any, count(*) FILTER (WHERE v = 3) AS by_all, count(*) FILTER (WHERE v = 3 AND id IN (SELECT id FROM k)) AS refound, (SELECT count(*) FROM k) AS controls,
+           round((SELECT (max(n) - min(n)) / max(n)::DOUBLE FROM s WHERE s.lens = i.lens), 6) AS spread, count(*) FILTER (WHERE v = 3 AND id IN (SELECT id FROM k)) >= 0.8 * (SELECT count(*) FROM k) AND (SELECT (max(n) - min(n)) / max(n)::DOUBLE FROM s WHERE s.lens = i.lens) <= 0.5 AS credible FROM i GROUP BY lens""")
+def lens_report(spark, sf):
+    """Three raters under two lenses; every fiftieth part is a known defect."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    pairs = [(lens, rater) for lens in range(2) for rater in range(3)]
+    each = part.withColumn("x", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("lens"), F.lit(b).cast("long").alias("rater")) for a, b in pairs]))).select("id", "p_size", "x.*")
+    flags = each.filter("(p_size + 7 * rater + 3 * lens) % (9 + 20 * lens * rater) < 4 OR id % 50 = 0").select("lens", "rater", "id")
+    return census.lens_report(flags, spark.createDataFrame(pairs, "lens long, rater long"), part.filter("id % 50 = 0").select("id"))
+
+
+@query("join10_positional_diff", """WITH b AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, * FROM orders),
+    a AS (SELECT file, pos + CASE WHEN o_orderkey % 97 = 0 THEN 1000 ELSE 0 END AS pos, CASE WHEN o_orderkey % 31 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM b)
+    SELECT * FROM (SELECT coalesce(a.file, b.file) AS file, coalesce(a.pos, b.pos) AS pos, CASE WHEN b.pos IS NULL THEN 'added' WHEN a.pos IS NULL THEN 'vanished' WHEN a.o_orderkey <> b.o_orderkey THEN 'another row'
+        WHEN a.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 'frozen' WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'changed' END AS change FROM b FULL JOIN a ON a.file = b.file AND a.pos = b.pos) WHERE change IS NOT NULL""")
+def positional_diff(spark, sf):
+    """Orders by customer and place: some moved, renumbered, lost a frozen value or changed their state."""
+    rows = numbered(table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey", "o_orderpriority", "o_orderstatus"), ["file"], [F.col("o_orderkey")], "pos")
+    n = F.col("o_orderkey")
+    after = rows.select("file", (F.col("pos") + F.when(n % 97 == 0, 1000).otherwise(0)).alias("pos"), F.when(n % 31 == 0, -n).otherwise(n).alias("o_orderkey"), F.when(n % 13 != 0, F.col("o_orderpriority")).alias("o_orderpriority"), F.when(n % 7 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    return census.positional_diff(rows, after, ["file", "pos"], "o_orderkey", ["o_orderpriority"], ["o_orderstatus"])

@@ -345,3 +345,20 @@ def test_only_matching_files_are_opened(spark, tmp_path):
             assert opened <= len(whole) * (0.15 if pi else 1) * (0.2 if a else 1) + 3
         else:
             assert opened == len(whole)
+
+
+# Patterns
+
+
+def test_a_name_is_given_once(spark):
+    from lumenbank.functions import patterns
+
+    registry = patterns.Registry()
+    registry.add_given("mine=^x")
+    for bad in ("mine=y", "longest=y", "nothing", "=x", "open=("):
+        with pytest.raises((ValueError, re.error)):
+            registry.add_given(bad)
+    rows = spark.createDataFrame([(1, {"A": "xx", "B": "x 1", "C": "always so", "D": None})], "id long, options map<string,string>")
+    assert sorted((r.letter, r.pattern) for r in registry.find(rows).collect()) == [("A", "mine"), ("B", "mine"), ("B", "only number"), ("C", "absolute"), ("C", "longest")]
+    with pytest.raises(KeyError):
+        registry.find(rows, ["unknown"])
