@@ -38,10 +38,15 @@ def event_time_fold(spark, sf):
     twice = log.filter("id % 10 = 0").withColumn("part", F.least(F.lit(5), F.col("part") + 1))
     stream = arriving(log.unionByName(twice), f"{place}/in", F.col("part"), 6)
     # Rows of a batch span five days, and late ones five more; a repeated one comes up to ten later.
-    fold.advance(stream, f"{place}/state", f"{place}/log", "20 days")
+    fold.advance(stream, f"{place}/state", f"{place}/log", "20 days", tasks(log.count()))
     return rounded(fold.latest(spark.read.parquet(f"{place}/state")), "mastery", "coverage", "evidence")
 
 
+def tasks(rows: int) -> int:
+    """Partitions of a stream's state: one for each 50,000 rows, four at least."""
+    return max(4, rows // 50_000)
+
+
 def ops(spark, sf):
     """Each event as a write of its user: a reset, or a row whose id is a digit."""
     e = table(spark, sf, "events")
@@ -73,7 +78,7 @@ def drained(spark, sf, deliver):
 
     def send() -> int:
         nonlocal hour
-        read = outbox.drain(stream, deliver, f"{place}/sent", f"{place}/dead", f"{place}/log")
+        read = outbox.drain(stream, deliver, f"{place}/sent", f"{place}/dead", f"{place}/log", tasks(total))
         if size("sent") + size("dead") == total:
             return 0
         for hour in range(hour + 1, hour + 9):

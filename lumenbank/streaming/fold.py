@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,22 @@ from lumenbank.operators.mastery import DECAY, FULL, PI, PRIOR, PRIOR_HITS, tier
 #: Stateful processors keep their state in this store.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+
+
+@contextmanager
+def stateful(session, partitions: int | None):
+    """The session set for a stateful stream: its store, and how many partitions of state a new checkpoint gets (an old one keeps its own)."""
+    wanted = STORE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: session.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        session.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            session.conf.set(k, v) if v is not None else session.conf.unset(k)
+
+
 SETTLED = "s double, c double, n long"
 WAITING = "ts timestamp, id long, w double, correct boolean"
 OUT = "user_id long, cluster string, area string, pi string, n long, mastery double, coverage double, evidence double"
@@ -81,20 +98,13 @@ def running(stream: DataFrame, delay: str) -> DataFrame:
     return rows.groupBy(*PI).transformWithStateInPandas(MasteryFold(), OUT, "Update", "EventTime")
 
 
-def advance(stream: DataFrame, state: str, checkpoint: str, delay: str) -> int:
+def advance(stream: DataFrame, state: str, checkpoint: str, delay: str, partitions: int | None = None) -> int:
     """Folds what has arrived since the last call and returns the number of batches; each batch's rows replace what an earlier try of it wrote."""
-    session = stream.sparkSession
-    before = {k: session.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        session.conf.set(k, v)
-    try:
+    with stateful(stream.sparkSession, partitions):
         write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{state}/batch={number}")
         run = running(stream, delay).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         return sum(p["numInputRows"] > 0 for p in run.recentProgress)
-    finally:
-        for k, v in before.items():
-            session.conf.set(k, v) if v is not None else session.conf.unset(k)
 
 
 def latest(states: DataFrame) -> DataFrame:

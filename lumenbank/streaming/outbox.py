@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from lumenbank.sources.snapshots import Snapshots
-from lumenbank.streaming.fold import STORE
+from lumenbank.streaming.fold import stateful
 
 # Tries after which an unexplained failure is given up, and the waits between tries in seconds.
 MOST_TRIES, FIRST_WAIT, LONGEST_WAIT = 8, 1, 30
@@ -88,17 +88,13 @@ class Outbox(StatefulProcessor):
         pass
 
 
-def drain(ops: DataFrame, deliver, sent: str, quarantine: str, checkpoint: str) -> int:
+def drain(ops: DataFrame, deliver, sent: str, quarantine: str, checkpoint: str, partitions: int | None = None) -> int:
     """Delivers what waits in a stream of (user_id, seq, op, payload, at), as far as it goes, and returns the rows read.
 
     The clock of retries is the stream's own time ``at``; a row with the op
     ``tick`` moves it and writes nothing. Delivered entries go to ``sent`` and
     dead ones to ``quarantine``, a folder for each batch that a second try of the batch writes anew.
     """
-    session = ops.sparkSession
-    before = {k: session.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        session.conf.set(k, v)
 
     def write(batch: DataFrame, number: int) -> None:
         # Computed once: a second pass over the batch would call the remote again.
@@ -109,15 +105,12 @@ def drain(ops: DataFrame, deliver, sent: str, quarantine: str, checkpoint: str)
         finally:
             held.unpersist()
 
-    try:
+    with stateful(ops.sparkSession, partitions):
         rows = ops.select("user_id", "seq", "op", "payload", "at").withWatermark("at", "0 seconds")
         out = rows.groupBy("user_id").transformWithStateInPandas(Outbox(deliver), OUT, "Update", "EventTime")
         run = out.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         return sum(p["numInputRows"] for p in run.recentProgress)
-    finally:
-        for k, v in before.items():
-            session.conf.set(k, v) if v is not None else session.conf.unset(k)
 
 
 def remote_rows(sent: DataFrame) -> DataFrame:
