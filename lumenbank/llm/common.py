@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -12,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from lumenbank.sources.storage import saved
 
-__all__ = ["key_of", "map_rows", "saved", "small_side", "table", "training_half"]
+__all__ = ["SEED", "key_of", "map_rows", "saved", "shingle_hashes", "small_side", "table", "training_half"]
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +23,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows taken from an Arrow batch at a time, so that long texts don't pile up in a worker.
 SLICE = 128
 
+#: Seed of the hashes of shingles.
+SEED = 42
+
+_WORD = re.compile(WORD.encode())
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,3 +79,15 @@ def key_of(df: DataFrame, columns: list[str] | None = None) -> F.Column:
         # Maps and variants have no hash.
         parts += [F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value, F.isnull(value)]
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("b"))
+
+
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """XXH64 of each n-word shingle of the lower-cased (A-Z) text, repeats included; of the whole sequence if there are fewer words."""
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, ends = (ends - [len(w) + 1 for w in words]).tolist(), (ends - 1).tolist()
+    joined, one = b" ".join(words), xxhash.xxh64_intdigest
+    n = min(n, len(words))
+    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :])), np.uint64, len(words) - n + 1)

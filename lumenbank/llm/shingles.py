@@ -1,9 +1,7 @@
-"""Near copies by the Jaccard similarity of five-word shingle sets: a prefix filter that misses no pair, and every link checked."""
+"""Near copies by the Jaccard similarity of five-word shingle sets: SimHash first, a prefix filter for what it misses, and every link checked."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -12,12 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lumenbank.llm.common import key_of, map_rows, saved, small_side
+from lumenbank.llm import simhash
+from lumenbank.llm.common import SEED, key_of, map_rows, saved, shingle_hashes, small_side
 from lumenbank.llm.graph import components
+from lumenbank.llm.simhash import Settings, fingerprint_of
 
-SEED = 42
 #: Words of a shingle. Sets are near copies if they share four fifths of their union: 9 |x & y| >= 4 (|x| + |y|).
 SHINGLE = 5
+#: Fingerprints of such sets that meet: at most six of 64 bits apart.
+NEAR = Settings(shingle=SHINGLE, radius=6)
 #: One document in so many is counted to tell common shingles, and most of those that are kept. They only order the
 #: shingles; any order finds the same pairs, at more or less cost.
 SAMPLE, MOST_COMMON = 16, 200_000
@@ -25,21 +26,6 @@ SAMPLE, MOST_COMMON = 16, 200_000
 #: Hubs that sets apart are held against before all pairs of a group.
 ROUNDS = 4
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """XXH64 of each n-word shingle of the lower-cased (A-Z) text, repeats included; of the whole sequence if there are fewer words."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, ends = (ends - [len(w) + 1 for w in words]).tolist(), (ends - 1).tolist()
-    joined, one = b" ".join(words), xxhash.xxh64_intdigest
-    n = min(n, len(words))
-    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :])), np.uint64, len(words) - n + 1)
-
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The different shingle hashes of a text, sorted."""
@@ -89,7 +75,7 @@ def least_unlike(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, the row's key (``a``, ``b``), its text's hash ``t``, ``node`` (the key of its shingle set), the set's ``size``, ``prefix`` and ``parity``."""
+    """doc_id, the row's key (``a``, ``b``), its text's hash ``t``, ``node`` (the key of its shingle set), the set's ``mark`` (its SimHash fingerprint), ``size``, ``prefix`` and ``parity``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
@@ -98,12 +84,12 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
         def one(i, a, b, t, text):
             hashes = shingle_set(text)
-            return [(i, a, b, t, set_key(hashes), len(hashes), prefix(hashes, common, counts), parities(hashes))]
+            return [(i, a, b, t, set_key(hashes), fingerprint_of(hashes.view(np.uint64), NEAR)[0], len(hashes), prefix(hashes, common, counts), parities(hashes))]
 
         return one
 
     rows = docs.select("doc_id", key_of(docs).alias("key"), text_hash().alias("t"), "text").select("doc_id", "key.a", "key.b", "t", "text")
-    return map_rows(rows, make, f"doc_id {kind}, a long, b long, t long, node long, size int, prefix array<long>, parity binary")
+    return map_rows(rows, make, f"doc_id {kind}, a long, b long, t long, node long, mark long, size int, prefix array<long>, parity binary")
 
 
 def text_hash() -> Column:
@@ -128,10 +114,34 @@ def near_copies(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFram
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def alike_marks(nodes: DataFrame) -> DataFrame:
+    """(a, b) pairs of nodes whose fingerprints are at most ``NEAR.radius`` bits apart, enough of them to connect all such nodes.
+
+    Nodes of one fingerprint meet the least of them, and these least ones meet
+    by the shards and BK-trees of the SimHash operator.
+    """
+    prints = saved(nodes.groupBy("mark").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    least = lambda mark, first: prints.select(F.col("mark").alias(mark), F.col("first").alias(first))
+    close = simhash.links(prints.select(F.col("mark").alias("node"), F.array("mark").alias("signature")), NEAR, pairs=True)
+    close = close.distinct().join(least("a", "x"), "a").join(least("b", "y"), "b").select("x", "y")
+    several = saved(prints.filter("n > 1").select("mark", "first"))
+    same = nodes.select("node", "mark").join(small_side(several, 2_000_000), "mark").filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    return close.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (a, b) pairs whose ends have not one root."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root").select("a", "b")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) edges between near copies, enough of them to connect whatever is linked.
 
-    Sets that have a shingle of their prefixes in common are first held
+    Sets with fingerprints close to each other meet first. A pair of 0.8 often has fingerprints
+    further apart than any sharded search reaches, so a prefix filter,
+    which misses none, finds the links that are left between the groups found by then.
+    Sets that have a shingle of their prefixes in common are held
     against one of them, the hub: the one whose prefix has it earliest, as that
     rules out least. What is linked then has one root. In each of the next
     ``ROUNDS``, while that links anything, sets of other roots are held against another hub of
@@ -139,6 +149,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     joins. So a dense group is joined without all of its pairs. Each time,
     pairs whose sizes or places rule them out are passed over.
     """
+    tried = saved(alike_marks(nodes))
+    found = saved(near_copies(tried, docs, nodes))
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     group = W.partitionBy("shingle")
     shared = rows.withColumns({"hub": F.min(F.struct("place", "node", "size")).over(group), "n": F.count("*").over(group)})
@@ -146,9 +158,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # The first shingle that two sets share leaves no more in common than what follows it.
     may = lambda x: F.expr(f"5 * least(size, {x}size) >= 4 * greatest(size, {x}size) AND 9 * least(size - place, {x}size - {x}place) >= 4 * (size + {x}size)")
     pair = lambda x: [F.least("node", x).alias("a"), F.greatest("node", x).alias("b")]
-    tried = saved(shared.filter("node <> hub.node").filter(may("hub.")).select(*pair("hub.node")).distinct())
+    first = shared.filter("node <> hub.node").filter(may("hub.")).select(*pair("hub.node")).distinct()
+    asked = saved(unjoined(first, components(found)).join(tried, ["a", "b"], "left_anti"))
     shared = shared.drop("hub")
-    found = saved(near_copies(tried, docs, nodes))
+    tried, found = saved(tried.unionByName(asked)), saved(found.unionByName(near_copies(asked, docs, nodes)))
     for turn in range(ROUNDS + 1):
         roots = components(found)
         apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -179,7 +192,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = saved(prefixes(docs))
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "a", "b"))
-    nodes = saved(found.groupBy("node").agg(first.alias("least"), F.count("*").alias("rows"), F.min("t").alias("t"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
+    nodes = saved(found.groupBy("node").agg(first.alias("least"), F.count("*").alias("rows"), F.min("t").alias("t"), F.first("mark").alias("mark"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
     roots = saved(components(links(docs, nodes)))
     group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "rows")
     least = saved(group.groupBy("root").agg(F.min("least").alias("kept"), F.sum("rows").alias("rows")).filter("rows > 1"))

@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbank.llm.common import map_rows, saved, small_side
+from lumenbank.llm.common import map_rows, saved, shingle_hashes, small_side
 from lumenbank.llm.graph import components
-from lumenbank.llm.shingles import keep_one, shingle_hashes
 
-__all__ = ["EXACT", "Settings", "fingerprint", "fingerprint_hex", "fingerprints", "keep_one", "links", "near_duplicates"]
+__all__ = ["EXACT", "Settings", "fingerprint", "fingerprint_hex", "fingerprint_of", "fingerprints", "keep_one", "links", "near_duplicates"]
 
 #: Fingerprints of a shard tree; a larger shard becomes blocks of about this many, each a tree for every later block.
 TREE = 4_096
@@ -48,7 +47,11 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, settings: Settings) -> list[int]:
     """Signed 64-bit words; a bit is 1 if over half the hashes have it. No words: zero."""
-    h = shingle_hashes(text, settings.shingle)
+    return fingerprint_of(shingle_hashes(text, settings.shingle), settings)
+
+
+def fingerprint_of(h: np.ndarray, settings: Settings) -> list[int]:
+    """The words of a fingerprint from the hashes themselves."""
     out = []
     for k in range(settings.words):
         counts = np.zeros(64, np.int64)
@@ -86,11 +89,12 @@ def shard_masks(settings: Settings, rows: int) -> list[list[int]]:
     return out
 
 
-def links(nodes: DataFrame, settings: Settings = EXACT) -> DataFrame:
+def links(nodes: DataFrame, settings: Settings = EXACT, pairs: bool = False) -> DataFrame:
     """(a, b) edges between (node, signature) rows, enough of them to connect whatever links.
 
     A shard's links are joined up inside its task, and each node gets one edge
     to the first of its part of the shard, so a dense group gives no pairs.
+    With ``pairs`` every edge is a link, by another choice of them.
     Shards above TREE are split into blocks; every block's tree goes to the
     task of each later block, so no task holds more than two blocks.
     """
@@ -104,10 +108,10 @@ def links(nodes: DataFrame, settings: Settings = EXACT) -> DataFrame:
     low, high = F.least("own", "other"), F.greatest("own", "other")
     sharded = keyed.select(F.xxhash64("key", low, high).alias("shard"), "node", "signature", ((F.col("own") == low).cast("int") + 2 * (F.col("own") == high).cast("int")).alias("role"))  # 1: in the tree, 2: asks, 3: both
     sharded = sharded.repartition("shard").sortWithinPartitions("shard")
-    return sharded.mapInArrow(_search(settings), "a long, b long")
+    return sharded.mapInArrow(_search(settings, pairs), "a long, b long")
 
 
-def _search(settings: Settings):
+def _search(settings: Settings, pairs: bool):
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
@@ -120,7 +124,7 @@ def _search(settings: Settings):
             if end or final:
                 part = rows.slice(0, end)
                 held, size = rows.slice(end).to_batches(), len(shard) - end
-                edges = forest_links(part, settings)
+                edges = forest_links(part, settings, pairs)
                 if len(edges):
                     return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
             return None
@@ -136,8 +140,8 @@ def _search(settings: Settings):
     return run
 
 
-def forest_links(rows: pa.Table, settings: Settings) -> np.ndarray:
-    """Star edges of whole shards: a BK-tree for each, all searched together."""
+def forest_links(rows: pa.Table, settings: Settings, pairs: bool = False) -> np.ndarray:
+    """Edges of whole shards, stars or linked pairs: a BK-tree for each, all searched together."""
     shard = rows.column("shard").to_numpy()
     node = rows.column("node").to_numpy()
     values = pa.chunked_array(rows.column("signature").chunks, rows.schema.field("signature").type).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rows), settings.words)
@@ -145,9 +149,12 @@ def forest_links(rows: pa.Table, settings: Settings) -> np.ndarray:
     group = np.cumsum(np.concatenate([[0], shard[1:] != shard[:-1]])) if len(shard) else shard
     root, keys, children = build_forest(values, group, np.flatnonzero(in_tree))
     label = np.arange(len(rows))
+    used: list[np.ndarray] | None = [] if pairs else None
     askers = np.flatnonzero(asks & (root[group] >= 0)) if len(rows) else np.zeros(0, np.int64)
     for a, b in search_forest(values, root[group[askers]] if len(askers) else askers, askers, keys, children, settings.radius):
-        unite(label, a, b)
+        unite(label, a, b, used)
+    if pairs:
+        return node[np.concatenate([np.zeros((0, 2), np.int64), *used])]
     joined = np.flatnonzero(label != np.arange(len(rows)))
     return np.stack([node[joined], node[label[joined]]], axis=1)
 
@@ -208,15 +215,20 @@ def search_forest(values: np.ndarray, roots: np.ndarray, askers: np.ndarray, key
             fronts.append((a[which], children[edge]))
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Makes the labels of each pair one, in place; a label is the least row of its set."""
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray, used: list[np.ndarray] | None = None) -> None:
+    """Makes the labels of each pair one, in place; a label is the least row of its set. ``used`` takes the pairs that joined two sets."""
     while True:
         x, y = label[a], label[b]
         apart = x != y
         if not apart.any():
             return
         a, b = a[apart], b[apart]
-        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        high, low = np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        np.minimum.at(label, high, low)
+        if used is not None:  # the first pair that gave a set its label
+            gave = np.flatnonzero(label[high] == low)
+            gave = gave[np.unique(high[gave], return_index=True)[1]]
+            used.append(np.stack([a[gave], b[gave]], axis=1))
         while True:
             up = label[label]
             if np.array_equal(up, label):
@@ -247,3 +259,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT) -> DataFrame:
 
 def fingerprint_hex(signature: Column) -> Column:
     return F.lower(F.lpad(F.hex(signature[0]), 16, "0"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row for each group of near copies: fingerprints of five-word shingles meet first (see ``shingles``)."""
+    from lumenbank.llm.shingles import keep_one  # which is built on this module
+
+    return keep_one(docs)

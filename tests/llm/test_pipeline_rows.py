@@ -185,3 +185,53 @@ def test_dense_group_of_edited_copies(spark):
                 root[max(a, b)] = min(a, b)
     kept = {r.doc_id for r in shingles.keep_one(docs).collect()}
     assert kept == {i for i in range(len(texts)) if top(i) == i} and 1 < len(kept) < 110
+
+
+def test_fingerprints_meet_before_shingles(spark, monkeypatch):
+    """The first pairs that are checked are SimHash links and connect all of them; later ones lie between what they joined; groups are those of all pairs."""
+    from lumenbank.llm import shingles
+
+    draw = random.Random(5)
+    texts = [words(400, s) for s in range(40)]
+    for i in range(160):  # a few words changed at one place, or one in so many
+        w = texts[i % 40].split()
+        for k in range(draw.randrange(1, 5) if i % 3 else 25):
+            w[50 + k if i % 2 else draw.randrange(400)] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += ["", None, "one two", texts[0].upper()]
+    sets = {shingles.set_key(h): h for h in (shingles.shingle_set(t) for t in texts)}
+    marks = {n: sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h.tolist()) > len(h)) for n, h in sets.items()}
+    apart = {(a, b): (marks[a] ^ marks[b]).bit_count() for a in sets for b in sets if a < b}
+    alike = {(a, b) for a, b in apart if 9 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * (len(sets[a]) + len(sets[b]))}
+
+    def groups(pairs):
+        root = {n: n for n in sets}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        return {n: top(n) for n in sets}
+
+    asked, check = [], shingles.near_copies
+
+    def near_copies(pairs, docs, nodes):
+        asked.append([(r.a, r.b) for r in pairs.collect()])
+        return check(pairs, docs, nodes)
+
+    monkeypatch.setattr(shingles, "near_copies", near_copies)
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    first, later = asked[0], [p for pairs in asked[1:] for p in pairs]
+    links = {p for p, bits in apart.items() if bits <= 6}
+    assert set(first) <= links and groups(first) == groups(links) and len(first) < len(links)
+    met = groups(alike & set(first))
+    assert later and all(met[a] != met[b] for a, b in later)
+    # Neither step alone would do here: SimHash misses links, and joins some that the other then need not ask.
+    assert alike & set(first) and groups(alike & links) != groups(alike)
+    of = [shingles.set_key(shingles.shingle_set(t)) for t in texts]
+    whole = groups(alike)
+    assert kept == {i for i, n in enumerate(of) if not any(whole[of[k]] == whole[n] for k in range(i))}
