@@ -8,14 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lumenbank.sources.storage import saved
 
-__all__ = ["SEED", "key_of", "map_rows", "saved", "shingle_hashes", "small_side", "table", "training_half"]
+__all__ = ["SEED", "counted", "gathered", "key_of", "map_rows", "saved", "shingle_hashes", "small_side", "table", "training_half"]
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,9 @@ SLICE = 128
 #: Seed of the hashes of shingles.
 SEED = 42
 
+#: Bytes that a partition of a counted frame has, where it would have fewer.
+PART = 1 << 20
+
 _WORD = re.compile(WORD.encode())
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -54,6 +57,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple] | l
     return df.mapInArrow(run, kind)
 
 
+def counted(df: DataFrame, row_bytes: Column | int = 16) -> tuple[DataFrame, int, int]:
+    """The frame as :func:`saved`, its rows and its bytes (``row_bytes`` a row), which are counted while it is written.
+
+    It is read back in partitions of ``PART`` bytes if it was written in smaller
+    ones, so that steps over few rows have few tasks and leave few files.
+    """
+    seen = Observation()
+    each = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each.cast("long")), F.lit(0)).alias("bytes")))
+    rows, size = seen.get["rows"], seen.get["bytes"]
+    return out.coalesce(size // PART + 1), rows, size
+
+
+def gathered(df: DataFrame, row_bytes: Column | int = 16) -> DataFrame:
+    """The frame alone of :func:`counted`."""
+    return counted(df, row_bytes)[0]
+
+
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """A join side that was counted: broadcast up to ``most_rows``, else left to a shuffled join.
 

@@ -13,27 +13,40 @@ from lumenbank.llm.common import saved
 FEW = 200_000
 
 
-def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b); ``root`` is the least node that it reaches.
 
     Each round links a node's larger neighbours to its least one, then its
     smaller ones, until the edges are stars around the roots: O(log^2 n)
     rounds. Only edges move, each round is written to the shared checkpoint
     folder, and the driver sees counts alone. Once there are ``few`` edges, whose
-    nodes are whole numbers, one task joins them, with the same roots. No edges give no rows.
+    nodes are whole numbers, one task joins them, with the same roots; at once if a saved
+    table's number of ``rows`` is given and so small. No edges give no rows.
     """
-    stars, seen = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    ends = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if rows is not None and rows <= few and whole_numbers(ends):
+        return joined_at_once(ends)
+    stars, seen = saved(ends.distinct()), None
     while True:
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first()
         if now == seen or not now[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        if now[0] <= few and {x.dataType.simpleString() for x in stars.schema} <= {"bigint", "int"}:
-            kind = stars.schema["u"].dataType.simpleString()
-            return saved(stars.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
+        if now[0] <= few and whole_numbers(stars):
+            return joined_at_once(stars)
         seen = now
         stars = saved(_small_star(_large_star(stars)))
 
 
+def whole_numbers(edges: DataFrame) -> bool:
+    return {x.dataType.simpleString() for x in edges.schema} <= {"bigint", "int"}
+
+
+def joined_at_once(edges: DataFrame) -> DataFrame:
+    """(node, root) of few edges (u, v), joined in one task."""
+    kind = edges.schema["u"].dataType.simpleString()
+    return saved(edges.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
+
+
 def _joined(batches):
     """Roots of all edges of one task: labels are lowered along edges and then followed, until they stand."""
     held = [b for b in batches if b.num_rows]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lumenbank.llm import simhash
-from lumenbank.llm.common import SEED, key_of, map_rows, saved, shingle_hashes, small_side
-from lumenbank.llm.graph import components
+from lumenbank.llm.common import SEED, counted, gathered, key_of, map_rows, saved, shingle_hashes, small_side
+from lumenbank.llm.graph import FEW, components
 from lumenbank.llm.simhash import Settings, fingerprint_of
 
 #: Words of a shingle. Sets are near copies if they share four fifths of their union: 9 |x & y| >= 4 (|x| + |y|).
@@ -26,6 +26,9 @@ SAMPLE, MOST_COMMON = 16, 200_000
 #: Hubs that sets apart are held against before all pairs of a group.
 ROUNDS = 4
 
+#: Pairs, and bytes of parities or sets, up to which they are sent whole to the tasks that need them; beyond, joins are shuffled.
+FEW_PAIRS, FEW_BYTES = 50_000, 16 << 20
+
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The different shingle hashes of a text, sorted."""
@@ -96,21 +99,43 @@ def text_hash() -> Column:
     return F.xxhash64("text")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def near_copies(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The (a, b) pairs of nodes whose shingle sets, made again from the texts, are near copies.
 
     Sets are made only for pairs whose parities leave it open: near copies
-    differ in a ninth of their sizes' sum at most.
+    differ in a ninth of their sizes' sum at most. ``pairs`` is a saved frame.
     """
-    side = lambda node, x: nodes.select(F.col("node").alias(node), F.col("size").alias(f"{x}_size"), F.col("parity").alias(x))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    light = lambda df, size: F.broadcast(df) if size <= FEW_BYTES else df
+    size = FEW_BYTES + 1
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        nodes, _, size = counted(nodes.join(F.broadcast(ends(pairs)), "node", "left_semi").select("node", "t", "size", "parity"), F.length("parity") + 24)
+    side = lambda node, x: light(nodes.select(F.col("node").alias(node), F.col("size").alias(f"{x}_size"), F.col("parity").alias(x)), size)
     pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(9 * least_unlike("x", "y") <= F.col("x_size") + F.col("y_size"))
-    pairs = saved(pairs.select("a", "b"))
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = saved(nodes.join(asked, "node", "left_semi").select("t").distinct())
-    texts = docs.select(text_hash().alias("t"), "text").join(small_side(held, 2_000_000), "t", "left_semi").dropDuplicates(["t"])
-    sets = map_rows(texts.select("text"), lambda: lambda t: [(set_key(h := shingle_set(t)), h)], "node long, hashes array<long>")
-    sets = saved(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    pairs = gathered(pairs.select("a", "b"))
+    held = gathered(nodes.join(small_side(ends(pairs), 2 * FEW_PAIRS), "node", "left_semi").select("t"), 8)
+    texts = docs.select(text_hash().alias("t"), "text").join(small_side(held, 2_000_000), "t", "left_semi")
+
+    def make():
+        done = set()  # a task's copies of one text give one set
+
+        def one(t, text):
+            if t in done:
+                return []
+            done.add(t)
+            return [(set_key(h := shingle_set(text)), h)]
+
+        return one
+
+    sets = map_rows(texts, make, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    sets, _, size = counted(sets, 8 * F.size("hashes") + 24)
+    of = lambda node, x: light(sets.select(F.col("node").alias(node), F.col("hashes").alias(x)), size)
+    both = small_side(pairs, FEW_PAIRS).join(of("a", "x"), "a").join(of("b", "y"), "b")
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
@@ -120,21 +145,27 @@ def alike_marks(nodes: DataFrame) -> DataFrame:
     Nodes of one fingerprint meet the least of them, and these least ones meet
     by the shards and BK-trees of the SimHash operator.
     """
-    prints = saved(nodes.groupBy("mark").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    least = lambda mark, first: prints.select(F.col("mark").alias(mark), F.col("first").alias(first))
+    prints = gathered(nodes.groupBy("mark").agg(F.min("node").alias("first"), F.count("*").alias("n")), 24)
+    least = lambda mark, first: small_side(prints.select(F.col("mark").alias(mark), F.col("first").alias(first)), 2 * FEW)
     close = simhash.links(prints.select(F.col("mark").alias("node"), F.array("mark").alias("signature")), NEAR, pairs=True)
-    close = close.distinct().join(least("a", "x"), "a").join(least("b", "y"), "b").select("x", "y")
-    several = saved(prints.filter("n > 1").select("mark", "first"))
-    same = nodes.select("node", "mark").join(small_side(several, 2_000_000), "mark").filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
-    return close.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(least("a", "x"), "a").join(least("b", "y"), "b").select("x", "y")
+    several = small_side(prints.filter("n > 1").select("mark", "first"), 2_000_000)
+    same = nodes.select("node", "mark").join(several, "mark").filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    return close.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The (a, b) pairs whose ends have not one root."""
+    roots = small_side(roots, 2 * FEW)
     root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root").select("a", "b")
 
 
+def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The (a, b) pairs that are not in ``tried``, saved."""
+    return gathered(pairs.join(small_side(tried, FEW), ["a", "b"], "left_anti"))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) edges between near copies, enough of them to connect whatever is linked.
 
@@ -149,36 +180,37 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     joins. So a dense group is joined without all of its pairs. Each time,
     pairs whose sizes or places rule them out are passed over.
     """
-    tried = saved(alike_marks(nodes))
-    found = saved(near_copies(tried, docs, nodes))
+    tried = gathered(alike_marks(nodes))
+    found, n, _ = counted(near_copies(tried, docs, nodes))
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     group = W.partitionBy("shingle")
     shared = rows.withColumns({"hub": F.min(F.struct("place", "node", "size")).over(group), "n": F.count("*").over(group)})
-    shared = saved(shared.filter("n > 1").drop("n"))
+    shared = gathered(shared.filter("n > 1").drop("n"), 48)
     # The first shingle that two sets share leaves no more in common than what follows it.
     may = lambda x: F.expr(f"5 * least(size, {x}size) >= 4 * greatest(size, {x}size) AND 9 * least(size - place, {x}size - {x}place) >= 4 * (size + {x}size)")
     pair = lambda x: [F.least("node", x).alias("a"), F.greatest("node", x).alias("b")]
     first = shared.filter("node <> hub.node").filter(may("hub.")).select(*pair("hub.node")).distinct()
-    asked = saved(unjoined(first, components(found)).join(tried, ["a", "b"], "left_anti"))
+    asked = untried(unjoined(first, components(found, rows=n)), tried)
     shared = shared.drop("hub")
-    tried, found = saved(tried.unionByName(asked)), saved(found.unionByName(near_copies(asked, docs, nodes)))
+    more, k, _ = counted(near_copies(asked, docs, nodes))
+    tried, found, n = tried.unionByName(asked), found.unionByName(more), n + k
     for turn in range(ROUNDS + 1):
-        roots = components(found)
-        apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        shared = apart = saved(apart.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).filter("low < high").drop("high"))
+        roots = components(found, rows=n)
+        apart = shared.join(small_side(roots, 2 * FEW), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shared = apart = gathered(apart.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).filter("low < high").drop("high"), 40)
         shared = shared.drop("root", "low")  # what has one root now has one later too
         if turn == ROUNDS:
             break
         hub = F.min(F.when(F.col("root") == F.col("low"), F.struct("place", F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "size"))).over(group)
-        asked = saved(apart.withColumn("hub", hub).filter("root <> low").filter(may("hub.")).select(*pair("hub.node")).distinct().join(tried, ["a", "b"], "left_anti"))
-        more = saved(near_copies(asked, docs, nodes))
-        tried, found = saved(tried.unionByName(asked)), saved(found.unionByName(more))
-        if more.isEmpty():
+        asked = untried(apart.withColumn("hub", hub).filter("root <> low").filter(may("hub.")).select(*pair("hub.node")).distinct(), tried)
+        more, k, _ = counted(near_copies(asked, docs, nodes))
+        tried, found, n = tried.unionByName(asked), found.unionByName(more), n + k
+        if not k:
             break
     apart = apart.drop("low")
     other = apart.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "root")])
     met = apart.join(other, "shingle").filter("node < other_node AND root <> other_root").filter(may("other_"))
-    rest = saved(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = untried(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), tried)
     return found.unionByName(near_copies(rest, docs, nodes))
 
 
@@ -190,17 +222,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     in all columns one stays. Equal sets are one node; texts without words
     have the empty set. An empty table gives no rows.
     """
-    found = saved(prefixes(docs))
+    weight = 8 * F.size("prefix") + F.length("parity") + 64
+    found = gathered(prefixes(docs), weight)
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "a", "b"))
-    nodes = saved(found.groupBy("node").agg(first.alias("least"), F.count("*").alias("rows"), F.min("t").alias("t"), F.first("mark").alias("mark"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
-    roots = saved(components(links(docs, nodes)))
-    group = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "rows")
-    least = saved(group.groupBy("root").agg(F.min("least").alias("kept"), F.sum("rows").alias("rows")).filter("rows > 1"))
-    of_group = group.join(least.select("root", "kept"), "root").select("node", "kept")
-    alike = saved(found.select("node", "a", "b").join(of_group, "node").groupBy("a", "b", (F.col("a") == F.col("kept.a")).alias("same_a"), (F.col("b") == F.col("kept.b")).alias("same_b")).agg(F.count("*").alias("n")))
+    nodes = gathered(found.groupBy("node").agg(first.alias("least"), F.count("*").alias("rows"), F.min("t").alias("t"), F.first("mark").alias("mark"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), weight)
+    edges, n, _ = counted(links(docs, nodes))
+    roots = saved(components(edges, rows=n))
+    group = nodes.join(small_side(roots, 2 * FEW), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "rows")
+    least = gathered(group.groupBy("root").agg(F.min("least").alias("kept"), F.sum("rows").alias("rows")).filter("rows > 1"), 64)
+    of_group = gathered(group.join(small_side(least.select("root", "kept"), FEW), "root").select("node", "kept"), 64)
+    alike = gathered(found.select("node", "a", "b").join(small_side(of_group, FEW), "node").groupBy("a", "b", (F.col("a") == F.col("kept.a")).alias("same_a"), (F.col("b") == F.col("kept.b")).alias("same_b")).agg(F.count("*").alias("n")), 32)
     key = F.struct("a", "b").alias("_key")
-    gone = saved(alike.filter("NOT (same_a AND same_b)").select(key))
-    again = saved(alike.filter("same_a AND same_b AND n > 1").select(key))
+    gone = gathered(alike.filter("NOT (same_a AND same_b)").select(key))
+    again = gathered(alike.filter("same_a AND same_b AND n > 1").select(key))
     keyed = docs.withColumn("_key", key_of(docs))
     stay = keyed.join(small_side(gone, 2_000_000), "_key", "left_anti")
     if again.isEmpty():

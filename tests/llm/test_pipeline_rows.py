@@ -235,3 +235,42 @@ def test_fingerprints_meet_before_shingles(spark, monkeypatch):
     of = [shingles.set_key(shingles.shingle_set(t)) for t in texts]
     whole = groups(alike)
     assert kept == {i for i, n in enumerate(of) if not any(whole[of[k]] == whole[n] for k in range(i))}
+
+
+@pytest.mark.parametrize("few", [(50_000, 16 << 20), (50_000, 0), (0, 0)])
+def test_few_pairs_take_few_tasks(spark, monkeypatch, few):
+    """Over many shuffle partitions few pairs are read in one; whether sides are sent whole or shuffled, the same rows stay."""
+    from lumenbank.llm import shingles
+
+    draw = random.Random(3)
+    texts = [words(60, 700 + s) for s in range(12)]
+    for i in range(48):
+        w = texts[i % 12].split()
+        for k in range(1 + i % 3):
+            w[draw.randrange(60) if i % 2 else 20 + k] = f"x{i}"
+        texts.append(" ".join(w))
+    sets = [set(shingles.shingle_set(t).tolist()) for t in texts]
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    root = list(range(len(sets)))
+    for _ in sets:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    parts, check = [], shingles.near_copies
+
+    def near_copies(pairs, docs, nodes):
+        parts.append((pairs.rdd.getNumPartitions(), nodes.rdd.getNumPartitions()))
+        return check(pairs, docs, nodes)
+
+    monkeypatch.setattr(shingles, "near_copies", near_copies)
+    for name, value in zip(("FEW_PAIRS", "FEW_BYTES"), few):
+        monkeypatch.setattr(shingles, name, value)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts + texts[:5])])).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert kept == {i for i, r in enumerate(root) if i == r} and 12 <= len(kept) < len(texts)
+    assert len(parts) >= 3 and set(parts) == {(1, 1)}
