@@ -23,6 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows taken from an Arrow batch at a time, so that long texts don't pile up in a worker.
 SLICE = 128
 
+#: Bytes of an Arrow batch that a worker is sent; by rows alone, one of long texts has tens of MB, in the JVM and in the worker.
+BATCH = 4 << 20
+
 #: Seed of the hashes of shingles.
 SEED = 42
 
@@ -41,9 +44,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple] | l
     """Rows made from rows, per task and in Arrow batches.
 
     ``make`` runs once per task and gives a function that takes the columns of
-    one row and returns the rows to emit. Only the current slice is held.
+    one row and returns the rows to emit. Only the current slice is held. The
+    session's Arrow batches are cut at ``BATCH`` bytes from then on.
     """
     kind = StructType.fromDDL(schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
     def run(batches):
         fn, arrow = make(), to_arrow_schema(kind)

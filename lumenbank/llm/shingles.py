@@ -162,8 +162,17 @@ def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    """The (a, b) pairs that are not in ``tried``, saved."""
-    return gathered(pairs.join(small_side(tried, FEW), ["a", "b"], "left_anti"))
+    """The (a, b) pairs that are not in ``tried``, saved.
+
+    They are joined on one number, and the ids decide: Spark holds a broadcast
+    of any other key in memory pages of tens of MB, on each executor until the
+    driver collects its garbage, and there is one each round.
+    """
+    both = F.xxhash64("a", "b")
+    held = small_side(tried.select("a", "b"), FEW).select(both.alias("_pair"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    # Written so that the ids don't become keys of the join.
+    same = (F.col("a").bitwiseXOR(F.col("_a")) == 0) & (F.col("b").bitwiseXOR(F.col("_b")) == 0)
+    return gathered(pairs.withColumn("pair", both).join(held, (F.col("pair") == F.col("_pair")) & same, "left_anti").select("a", "b"))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ __all__ = ["EXACT", "Settings", "fingerprint", "fingerprint_hex", "fingerprint_o
 
 #: Fingerprints of a shard tree; a larger shard becomes blocks of about this many, each a tree for every later block.
 TREE = 4_096
-#: Rows of a worker's forest, and pairs of its search front at a time (over the words of a fingerprint).
-FOREST_ROWS, FRONT = 40_000, 1 << 20
+#: Rows of a worker's forest, and pairs of its search front at a time (over the words of a fingerprint). A front takes
+#: some 200 bytes a pair where a dense group lets it grow, in each worker.
+FOREST_ROWS, FRONT = 40_000, 1 << 17
 
 
 @dataclass(frozen=True)

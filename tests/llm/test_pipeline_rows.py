@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbank.llm import byte_bpe, decontaminate, quality_model, quality_rules, simhash
+from lumenbank.llm import byte_bpe, common, decontaminate, quality_model, quality_rules, shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _other string, row int, node long, hash int, kept string, a int, t string, extra map<string,int>"
 
@@ -274,3 +274,54 @@ def test_few_pairs_take_few_tasks(spark, monkeypatch, few):
             spark.conf.set(k, v)
     assert kept == {i for i, r in enumerate(root) if i == r} and 12 <= len(kept) < len(texts)
     assert len(parts) >= 3 and set(parts) == {(1, 1)}
+
+
+def test_search_of_a_dense_group_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    values = np.full(4096, 0x123456789ABCDEF0, np.uint64)
+    for _ in range(5):
+        values ^= np.uint64(1) << r.integers(0, 64, len(values)).astype(np.uint64)
+    values = np.unique(values).reshape(-1, 1)
+    rows = np.arange(len(values))
+    root, keys, children = simhash.build_forest(values, np.zeros(len(values), np.int64), rows)
+    found = 0
+    tracemalloc.start()
+    for a, _ in simhash.search_forest(values, np.full(len(values), root[0]), rows, keys, children, 6):
+        found += len(a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(int((np.bitwise_count(values ^ v) <= 6).sum()) - 1 for v in values[:, 0])
+    assert peak < 40e6
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.rpad(F.col("id").cast("string"), 5000, "x").alias("text"))
+    common.map_rows(docs, lambda: lambda i, t: [(i,)], "doc_id long")
+
+    def size(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["doc_id"])
+
+    sizes = docs.mapInArrow(size, "doc_id long").collect()
+    assert len(sizes) >= 4 and max(r.doc_id for r in sizes) <= 2 * common.BATCH
+
+
+def test_tried_pairs_are_known_by_their_ids(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (-5, 2**62), (0, 0)], "a long, b long")
+    tried = spark.createDataFrame([(1, 2), (0, 0), (-5, 2**62), (2, 3)], "a long, b long")
+    left = shingles.untried(pairs, tried)
+    assert sorted(map(tuple, left.collect())) == [(1, 3), (2, 1)]
+    # One long as the key: such a broadcast takes no memory pages.
+    plans = []
+    gathered, shingles.gathered = shingles.gathered, lambda df: plans.append(df) or df
+    try:
+        plan = shingles.untried(pairs, tried)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        shingles.gathered = gathered
+    assert plans and "HashedRelationBroadcastMode(List(input[0, bigint, false])" in plan
