@@ -261,7 +261,8 @@ def proper_names(spark, sf):
 @query("str26_paragraphs", "SELECT doc_id, unnest(range(1, len(p) + 1)) AS place, unnest(p) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS p FROM documents)")
 def paragraphs(spark, sf):
     d = table(spark, sf, "documents")
-    found = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) > 0)
+    # F.trim itself would take the place as its second argument, the characters to trim.
+    found = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     return d.select("doc_id", F.posexplode(found).alias("place", "paragraph")).select("doc_id", (F.col("place") + 1).alias("place"), "paragraph")
 
 

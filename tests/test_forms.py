@@ -362,3 +362,13 @@ def test_a_name_is_given_once(spark):
     assert sorted((r.letter, r.pattern) for r in registry.find(rows).collect()) == [("A", "mine"), ("B", "mine"), ("B", "only number"), ("C", "absolute"), ("C", "longest")]
     with pytest.raises(KeyError):
         registry.find(rows, ["unknown"])
+
+
+def test_paragraphs_lose_only_spaces(spark, tmp_path):
+    """Characters equal to the paragraph's place stay; spaces go in each paragraph."""
+    import __spark_entry__ as entry
+
+    rows = [(1, "0997 a0\n1235 b1\n  22 c  \n   \n\t"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["str26_paragraphs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "0997 a0"), (1, 2, "1235 b1"), (1, 3, "22 c"), (1, 4, "\t")]
