@@ -90,6 +90,31 @@ def test_a_word_of_a_third_of_all_rows(spark):
     assert matched(spark, rows) == sorted(plain_best(rows))
 
 
+def test_copies_and_few_words_meet_in_few_rows(spark, monkeypatch):
+    """Shelves of copies, of few words, and of both beside long rows: the best other row, and no pairs of copies or of rows that share a word on the way."""
+    draw = random.Random(8)
+    rows = [("copies", i, [WORDS[i % 5], WORDS[7 + i % 2], "x", None]) for i in range(300)] + [("copies", 990, ["own"]), (None, 991, ["x"]), (None, 992, ["x"])]
+    rows += [("few", i, draw.choices(WORDS, k=draw.randint(0, 4)) + ["hot"]) for i in range(400)] + [("few", 900 + i, [f"o{i}"] * (1 + i % 2)) for i in range(9)]
+    rows += [("wide", i, draw.choices(WORDS, k=draw.choice([0, 1, 2, 3, 9]))) for i in range(150)]
+    kept, save = [], matching.saved
+    monkeypatch.setattr(matching, "saved", lambda df: kept.append(save(df)) or kept[-1])
+    want = [(*r[:2], None, 0.0) if r[0] is None else r for r in plain_best([(s, i, [w for w in words if w]) for s, i, words in rows])]
+    got = matching.best_other(spark.createDataFrame(rows, "shelf string, id long, words array<string>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert max(df.filter("shelf = 'copies'").count() for df in kept if "shelf" in df.columns) <= 11
+    assert max(df.filter("shelf = 'few'").count() for df in kept if "shelf" in df.columns) <= 409
+
+
+def test_best_part_without_a_name(spark, tmp_path):
+    """A part with a null among its words has none, as in SQL."""
+    import __spark_entry__ as entry
+
+    parts = [(1, "red bolt", "b", "SMALL", 1), (2, None, "b", "SMALL", 1), (3, "red nut", "b", "SMALL", None), (4, "red nut", "b", "SMALL", 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = entry.queries()["join21_best_part"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("b", 1, 4, 0.333333), ("b", 2, None, 0.0), ("b", 3, None, 0.0), ("b", 4, 1, 0.333333)]
+
+
 def test_blocks(spark):
     places = [0, 15, 16, 63, 64, 255, 256, 1023, 1024]
     got = spark.createDataFrame([(p,) for p in places], "p long").select(matching.block_of(F.col("p")).alias("b")).collect()
