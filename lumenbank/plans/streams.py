@@ -78,7 +78,7 @@ def drained(spark, sf, deliver):
 
     def send() -> int:
         nonlocal hour
-        read = outbox.drain(stream, deliver, f"{place}/sent", f"{place}/dead", f"{place}/log", tasks(total))
+        read = outbox.drain(stream, deliver, f"{place}/sent", f"{place}/dead", f"{place}/log", tasks(total), catch_up=True)
         if size("sent") + size("dead") == total:
             return 0
         for hour in range(hour + 1, hour + 9):

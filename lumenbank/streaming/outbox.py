@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,10 +18,14 @@ MOST_TRIES, FIRST_WAIT, LONGEST_WAIT = 8, 1, 30
 #: What a delivery says of its failure; None means delivered.
 PERMANENT, TRANSIENT, UNKNOWN = "permanent", "transient", "unknown"
 
-ENTRY = "seq long, op string, payload string, tries int"
+#: State of a user: how much was delivered, and the queue by columns; one value, as each call of the state is a message to the JVM.
+QUEUE = "sent long, seqs array<long>, ops array<string>, payloads array<string>, tries array<int>"
 OUT = "user_id long, seq long, op string, payload string, status string, tries int, place long"
 TICK = "tick"
 
+#: A row of the output.
+Sent = Row(*[c.split()[0] for c in OUT.split(", ")])
+
 
 class Outbox(StatefulProcessor):
     """The queue of one user, oldest first.
@@ -34,61 +37,70 @@ class Outbox(StatefulProcessor):
     with the tries so far and has to be idempotent: a batch that is run again
     starts from the state before it and delivers the same entries again, as
     does a row repeated after its entry has left the queue. ``place`` counts what was delivered to a user.
+
+    A timer that the stream's time has passed is one try. With ``catch_up`` it
+    is all the tries whose times have passed by then, each its wait after the
+    one before, so a replayed log or a clock that goes by hours needs no batch for each try.
     """
 
-    def __init__(self, deliver: Callable[[int, int, str, str, int], str | None]):
-        self.deliver = deliver
+    def __init__(self, deliver: Callable[[int, int, str, str, int], str | None], catch_up: bool = False):
+        self.deliver, self.catch_up = deliver, catch_up
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("queue", ENTRY)
-        self.sent = handle.getValueState("sent", "n long")
+        self.queue = handle.getValueState("queue", QUEUE)
+
+    def held(self) -> tuple[int, list[tuple]]:
+        """How much was delivered, and the entries (seq, op, payload, tries) that wait."""
+        value = self.queue.get()
+        return (value[0], list(zip(*value[1:]))) if value else (0, [])
 
-    def drain(self, key, entries: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        done, n = [], self.sent.get()[0] if self.sent.exists() else 0
-        while entries:
-            seq, op, payload, tries = entries[0]
+    def keep(self, sent: int, entries: list[tuple]) -> None:
+        self.queue.update((sent, *(map(list, zip(*entries)) if entries else ([], [], [], []))))
+
+    def drain(self, key, sent: int, entries: list[tuple], now: int, until: int) -> Iterator[Row]:
+        """Delivers from the time ``now`` on, with tries that fall due up to ``until``."""
+        done = 0
+        while done < len(entries):
+            seq, op, payload, tries = entries[done]
             failure, tries = self.deliver(key[0], seq, op, payload, tries), tries + 1
             if failure == TRANSIENT or failure == UNKNOWN and tries < MOST_TRIES:
-                entries[0] = (seq, op, payload, tries)
-                self.handle.registerTimer(now + 1000 * min(LONGEST_WAIT, FIRST_WAIT * 2 ** min(tries, 5)))
+                entries[done] = (seq, op, payload, tries)
+                now += 1000 * min(LONGEST_WAIT, FIRST_WAIT * 2 ** min(tries, 5))
+                if now <= until:
+                    continue
+                self.handle.registerTimer(now)
                 break
-            entries.pop(0)
-            n += failure is None
-            done.append((*key, seq, op, payload, "sent" if failure is None else "dead", tries, n if failure is None else None))
-        self.queue.put(entries) if entries else self.queue.clear()
-        self.sent.update((n,))
-        if done:
-            out = pd.DataFrame(done, columns=["user_id", "seq", "op", "payload", "status", "tries", "place"])
-            yield out.astype({"place": "Int64"})
-
-    def entries(self) -> list[tuple]:
-        return [tuple(r) for r in self.queue.get()] if self.queue.exists() else []
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        waiting = self.entries()
+            done += 1
+            sent += failure is None
+            yield Sent(key[0], seq, op, payload, "sent" if failure is None else "dead", tries, sent if failure is None else None)
+        self.keep(sent, entries[done:])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        sent, waiting = self.held()
         entries = {e[0]: e for e in waiting}
-        for frame in rows:
-            for seq, op, payload in zip(frame["seq"], frame["op"], frame["payload"]):
-                if op != TICK:
-                    entries.setdefault(int(seq), (int(seq), op, payload, 0))  # a number that waits already is the same write
-        in_order = sorted(entries.values())
+        for _, seq, op, payload, *_ in rows:
+            if op != TICK:
+                entries.setdefault(seq, (seq, op, payload, 0))  # a number that waits already is the same write
+        in_order = sorted(entries.values(), key=lambda e: e[0])
         if waiting:
             # The head waits for its timer, and all else for the head.
-            self.queue.put(in_order)
-        else:
-            yield from self.drain(key, in_order, timerValues.getCurrentWatermarkInMs())
+            self.keep(sent, in_order)
+        elif in_order:
+            now = timerValues.getCurrentWatermarkInMs()
+            yield from self.drain(key, sent, in_order, now, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        entries = self.entries()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        sent, entries = self.held()
         if entries:
-            yield from self.drain(key, entries, timerValues.getCurrentWatermarkInMs())
+            until = timerValues.getCurrentWatermarkInMs()
+            yield from self.drain(key, sent, entries, expiredTimerInfo.getExpiryTimeInMs() if self.catch_up else until, until)
 
     def close(self) -> None:
         pass
 
 
-def drain(ops: DataFrame, deliver, sent: str, quarantine: str, checkpoint: str, partitions: int | None = None) -> int:
+def drain(ops: DataFrame, deliver, sent: str, quarantine: str, checkpoint: str, partitions: int | None = None, catch_up: bool = False) -> int:
     """Delivers what waits in a stream of (user_id, seq, op, payload, at), as far as it goes, and returns the rows read.
 
     The clock of retries is the stream's own time ``at``; a row with the op
@@ -107,7 +119,7 @@ def drain(ops: DataFrame, deliver, sent: str, quarantine: str, checkpoint: str,
 
     with stateful(ops.sparkSession, partitions):
         rows = ops.select("user_id", "seq", "op", "payload", "at").withWatermark("at", "0 seconds")
-        out = rows.groupBy("user_id").transformWithStateInPandas(Outbox(deliver), OUT, "Update", "EventTime")
+        out = rows.groupBy("user_id").transformWithState(Outbox(deliver, catch_up), OUT, "Update", "EventTime")
         run = out.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         return sum(p["numInputRows"] for p in run.recentProgress)

@@ -141,6 +141,28 @@ def test_outbox_in_order(spark, tmp_path):
     assert {(r.user_id, r.id): r.payload for r in outbox.remote_rows(sent).collect()} == held
 
 
+def test_a_timer_catches_up(spark, tmp_path):
+    """One tick of many hours makes all tries that fall due by then, each after its wait: what a tick for each try gives, in few batches."""
+    rows = ops(72)
+    ticks = [[(0, -1, "tick", None, START + timedelta(hours=k))] for k in (30, 60)]
+    stream = written(spark, f"{tmp_path}/in", [rows[:40] + rows[3:20], rows[40:]] + ticks, OPS)
+    outbox.drain(stream, remote(), f"{tmp_path}/sent", f"{tmp_path}/dead", f"{tmp_path}/log", 2, catch_up=True)
+    sent, dead = spark.read.parquet(f"{tmp_path}/sent"), spark.read.parquet(f"{tmp_path}/dead")
+    got = {(r.user_id, r.seq): ("sent", r.tries, r.place) for r in sent.collect()} | {(r.user_id, r.seq): ("dead", r.tries, None) for r in dead.collect()}
+    assert got == plain_queue(rows) and sent.count() + dead.count() == len(got)
+
+
+def test_tries_wait_until_their_time():
+    """A clock that has not passed a wait leaves the queue standing with a timer at its end."""
+    box, timers, kept = outbox.Outbox(lambda *x: outbox.TRANSIENT if x[4] < 6 else None, catch_up=True), [], []
+    box.handle = type("H", (), {"registerTimer": staticmethod(timers.append)})
+    box.keep = lambda sent, entries: kept.append((sent, entries))
+    assert list(box.drain((1,), 4, [(7, "a", "x", 0), (8, "b", "y", 0)], 1000, 20_000)) == []
+    assert timers == [31_000] and kept == [(4, [(7, "a", "x", 4), (8, "b", "y", 0)])]
+    out = list(box.drain((1,), 4, [(7, "a", "x", 4), (8, "b", "y", 5)], 31_000, 100_000))
+    assert [(r.seq, r.tries, r.place) for r in out] == [(7, 7, 5)] and timers[1:] == [121_000] and kept[1] == (5, [(8, "b", "y", 6)])
+
+
 def test_flush_pulls_and_keeps_what_it_has(spark, tmp_path):
     """Rounds go on while writes arrive; a pull that fails while its rows are written leaves the old snapshot; the next one is whole."""
     local = Snapshots(spark, f"{tmp_path}/local")
