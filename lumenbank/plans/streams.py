@@ -21,12 +21,13 @@ def query(name: str, sql: str):
     return add
 
 
-def arriving(rows: DataFrame, place: str, by: F.Column, batches: int) -> DataFrame:
-    """``rows`` as a stream of files, one for each of ``by``'s values from 0, written in that order."""
+def arriving(rows: DataFrame, place: str, by: F.Column, batches: int, files: int = 1) -> DataFrame:
+    """``rows`` as a stream of batches, one for each of ``by``'s values from 0, written in that order as so many files each; with several, each value needs many times as many rows."""
     schema = rows.schema
     for k in range(batches):
-        rows.filter(by == k).coalesce(1).write.mode("append").parquet(place)
-    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
+        batch = rows.filter(by == k)
+        (batch.repartition(files) if files > 1 else batch.coalesce(1)).write.mode("append").parquet(place)
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(place)
 
 
 @query("stm05_event_time_fold", f"{STATS} SELECT user_id, cluster, area, pi, round(mastery, 6) AS mastery, round(coverage, 6) AS coverage, round(evidence, 6) AS evidence, n FROM stats")
@@ -72,8 +73,12 @@ def drained(spark, sf, deliver):
     """The folders of a queue that has three batches of writes, and a function that drains it and moves the clock until nothing waits."""
     place, rows = live.scratch(spark), ops(spark, sf)
     last = rows.agg(F.max("seq")).first()[0]
-    stream = arriving(rows, f"{place}/in", F.floor(F.col("seq") * 3 / (last + 1)), 3)
-    total, hour = rows.count(), 0
+    third = F.floor(F.col("seq") * 3 / (last + 1))
+    counts = [r["count"] for r in rows.groupBy(third.alias("third")).count().collect()]
+    # A file for each 250,000 rows, as one task writes a file and one reads it.
+    files = max(1, min(counts) // 250_000) if len(counts) == 3 else 1
+    stream = arriving(rows, f"{place}/in", third, 3, files)
+    total, hour = sum(counts), 0
     size = lambda kind: spark.read.parquet(f"{place}/{kind}").count()
 
     def send() -> int:

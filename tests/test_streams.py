@@ -141,6 +141,17 @@ def test_outbox_in_order(spark, tmp_path):
     assert {(r.user_id, r.id): r.payload for r in outbox.remote_rows(sent).collect()} == held
 
 
+def test_batches_of_several_files(spark, tmp_path):
+    """A batch's files come together and batches in their order."""
+    from lumenbank.plans import streams
+
+    place, seen = f"{tmp_path}/in", []
+    stream = streams.arriving(spark.range(3000), place, F.floor(F.col("id") / 1000), 3, files=4)
+    stream.writeStream.foreachBatch(lambda batch, n: seen.append(batch.agg(F.min("id"), F.max("id"), F.count("*")).first())).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in seen] == [(0, 999, 1000), (1000, 1999, 1000), (2000, 2999, 1000)]
+    assert len(list(tmp_path.glob("in/*.parquet"))) == 12
+
+
 def test_a_timer_catches_up(spark, tmp_path):
     """One tick of many hours makes all tries that fall due by then, each after its wait: what a tick for each try gives, in few batches."""
     rows = ops(72)
