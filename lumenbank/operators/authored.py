@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,16 +28,22 @@ def option_lengths() -> Column:
 def fired(rows: DataFrame, gates: list[tuple[str, str, Column]]) -> DataFrame:
     """(cand_id, level, finding): a row for each gate (level, name, test) that is true, in one pass; an unknown test is false."""
     found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), F.lit(name).alias("finding"))) for level, name, test in gates]))
-    return rows.select("cand_id", F.explode(found).alias("f")).select("cand_id", "f.level", "f.finding")
+    # For explode() Spark puts a filter before it, in which all gates are tested a second time.
+    return rows.select("cand_id", F.explode_outer(found).alias("f")).filter("f IS NOT NULL").select("cand_id", "f.level", "f.finding")
 
 
-def shape_gates() -> list[tuple[str, str, Column]]:
-    """What a row must have whatever was assigned: four different options, a key among them, no empty field, a known tier."""
-    options = values(F.col("options"))
-    plain = F.transform(options, T.plain_norm)
-    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+def each_option(measure: Callable[[Column], Column]) -> Column:
+    """The measure of the options A to D, without a lambda, so that it is compiled."""
+    return F.array(*[measure(F.col("options")[x]) for x in LETTERS])
+
+
+def shape_gates(plain: Column | None = None) -> list[tuple[str, str, Column]]:
+    """What a row must have whatever was assigned: four different options, a key among them, no empty field, a known tier. ``plain`` has the options' plain texts, if they are there."""
+    plain = each_option(T.plain_norm) if plain is None else plain
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: empty(F.col(c))
     return [
-        (HARD, "empty option", F.exists(options, lambda o: F.coalesce(F.trim(o), F.lit("")) == "")),
+        (HARD, "empty option", reduce(lambda a, b: a | b, [empty(F.col("options")[x]) for x in LETTERS])),
         (HARD, "same options", F.size(F.array_distinct(F.filter(plain, lambda o: o != ""))) < F.size(F.filter(plain, lambda o: o != ""))),
         (HARD, "no such key", ~F.coalesce(F.col("answer").isin(LETTERS), F.lit(False))),
         (HARD, "no such tier", ~F.coalesce(F.col("difficulty").isin(TIERS), F.lit(False))),
@@ -113,44 +120,60 @@ def numbers(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({FIGURE})"), 1), lambda x: F.translate(x, ",", "")))
 
 
-def places(c: Column) -> Column:
-    """Significant decimal places of the only figure of a text, null if it has none or several."""
-    found = F.regexp_extract_all(c, F.lit(f"({FIGURE})"), 1)
-    return F.when(F.size(found) == 1, F.length(F.regexp_replace(F.regexp_extract(F.get(found, F.lit(0)), r"\.(\d+)", 1), "0+$", "")))
+def places(figures: Column) -> Column:
+    """Significant decimal places of the only one of a text's figures, null if it has none or several."""
+    only = F.get(figures, F.lit(0))
+    decimals = F.when(F.contains(only, F.lit(".")), F.length(F.rtrim(F.substring_index(only, ".", -1), F.lit("0")))).otherwise(0)
+    return F.when(F.size(figures) == 1, decimals)
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Rows with what the gates of a batch ask of the options, each in a column, so that it is found once: plain texts, figures and their places, decimals, articles, and which option is the key."""
+    rows = rows.withColumns({
+        "_plain": each_option(T.plain_norm),
+        "_figures": each_option(lambda o: F.regexp_extract_all(o, F.lit(f"({FIGURE})"), 1)),
+        "_dec": each_option(lambda o: F.rlike(o, F.lit(DECIMAL))),
+        "_said": each_option(lambda o: F.regexp_extract(F.lower(o), ARTICLE, 1)),
+        "_key": F.array_position(F.array(*map(F.lit, LETTERS)), F.col("answer")).cast("int") - 1,
+    })
+    rows = rows.withColumn("_places", F.transform("_figures", places))
+    return rows.withColumn("_sound", ~reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for _, _, t in shape_gates(F.col("_plain"))]))
 
 
 def batch_tells() -> list[tuple[str, str, Column]]:
-    """What lets a reader pick the key without the stem's facts: a shared figure, the odd decimal, the roundest number, the odd article."""
-    options, key = values(F.col("options")), F.col("options")[F.col("answer")]
-    shared = F.exists(F.array_intersect(numbers(key), numbers(F.col("question"))), lambda x: F.length(F.translate(x, ".", "")) >= 2)
-    dec = F.size(F.filter(options, lambda o: F.rlike(o, F.lit(DECIMAL))))
-    key_dec = F.rlike(key, F.lit(DECIMAL))
-    odd = ((dec == 1) & key_dec) | ((dec == 3) & ~key_dec)
-    at = F.transform(options, places)
-    whole = ~F.exists(at, lambda n: n.isNull())
-    roundest = whole & (places(key) == F.array_min(at)) & (F.size(F.filter(at, lambda n: n == F.array_min(at))) == 1)
-    article = lambda o: F.regexp_extract(F.lower(o), ARTICLE, 1)
-    said = F.transform(options, article)
-    mine = F.size(F.filter(said, lambda x: x == article(key)))
+    """What lets a reader pick the key of a measured row without the stem's facts: a shared figure, the odd decimal, the roundest number, the odd article."""
+    of_key = lambda c: F.get(F.col(c), F.col("_key"))
+    plain = lambda figures: F.transform(figures, lambda x: F.translate(x, ",", ""))
+    shared = F.exists(F.array_intersect(plain(of_key("_figures")), numbers(F.col("question"))), lambda x: F.length(F.translate(x, ".", "")) >= 2)
+    dec = F.size(F.filter("_dec", lambda d: d))
+    odd = ((dec == 1) & of_key("_dec")) | ((dec == 3) & ~of_key("_dec"))
+    whole = ~F.exists("_places", lambda n: n.isNull())
+    least = F.array_min("_places")
+    roundest = whole & (of_key("_places") == least) & (F.size(F.filter("_places", lambda n: n == least)) == 1)
+    mine = F.size(F.filter("_said", lambda x: x == of_key("_said")))
     return [
         (SOFT, "key shares a figure with its stem", shared),
         (SOFT, "key is the odd one by its decimal", odd),
         (SOFT, "key is the roundest number", roundest),
-        (SOFT, "an article before a number", F.exists(said, lambda x: x != "")),
-        (SOFT, "the article names the key", ~F.exists(said, lambda x: x == "") & (F.size(F.array_distinct(said)) == 2) & (mine == 1)),
+        (SOFT, "an article before a number", F.exists("_said", lambda x: x != "")),
+        (SOFT, "the article names the key", ~F.exists("_said", lambda x: x == "") & (F.size(F.array_distinct("_said")) == 2) & (mine == 1)),
     ]
 
 
+def may_be_long(o: Column) -> Column:
+    """Whether an option's plain text may have ``SHARED`` characters: a minus and a digit become five, and no other character becomes more than one."""
+    return F.length(F.lower(o)) * F.when(F.contains(o, F.lit("-")), 2.5).otherwise(1.0) >= SHARED
+
+
 def check_batch(rows: DataFrame, payload: DataFrame | None = None) -> DataFrame:
     """(cand_id, level, finding) over all parts of a batch: the shape, the assigned letters, texts that options of two rows share, and tells.
 
     A cand_id in more than one file makes the letters undecidable: with a
     payload each such id is hard, and no letter of it is judged. An option text is compared from 18 characters on.
     """
-    shape = shape_gates()
-    sound = ~reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for _, _, t in shape])
-    parts = [fired(rows, [*shape, *[(level, name, sound & test) for level, name, test in batch_tells()]])]
-    each = rows.select("cand_id", F.explode(F.array_distinct(F.transform(values(F.col("options")), T.plain_norm))).alias("option")).filter(F.length("option") >= SHARED)
+    parts = [fired(measured(rows), [*shape_gates(F.col("_plain")), *[(level, name, F.col("_sound") & test) for level, name, test in batch_tells()]])]
+    texts = each_option(lambda o: F.when(may_be_long(o), T.plain_norm(o)))
+    each = rows.select("cand_id", F.explode_outer(F.array_distinct(texts)).alias("option")).filter(F.length("option") >= SHARED)
     # A text of many rows is reduced before it is shuffled, and its rows find it again by a semi-join.
     common = each.groupBy("option").agg((F.min("cand_id") < F.max("cand_id")).alias("shared")).filter("shared")
     parts.append(each.join(common, "option", "left_semi").select("cand_id").distinct().select("cand_id", F.lit(HARD).alias("level"), F.lit("an option is another row's too").alias("finding")))

@@ -81,6 +81,19 @@ def test_batches(spark):
     assert {tuple(r) for r in authored.check_batch(frame).collect()} == plain_batch(rows)
 
 
+def test_texts_are_matched_once(spark):
+    """Each pattern of a batch's gates is looked for once in each option, not again for each gate and each other option."""
+    plan = authored.check_batch(spark.createDataFrame([row("c", "Of 2?", ["a 1", "b", "c", "d"])], ROW))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[^a-z0-9]+") <= 12 and plan.count(r"\d[\d,]*") <= 5 and plan.count(r"\b(an?)") <= 4
+
+
+def test_options_whose_plain_text_is_longer(spark):
+    """A minus before a digit becomes a word: eleven characters may make eighteen."""
+    rows = [row("a", "x", ["-1 -2 -3 -4", "b", "c", "d"]), row("b", "x", ["-1,-2,-3,-4", "e", "f", "g"]), row("c", "x", ["twelve chars", "TWELVE CHARS!", "c", "d"])]
+    got = {tuple(r) for r in authored.check_batch(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == plain_batch(rows) and ("a", "hard", "an option is another row's too") in got
+
+
 def test_contamination_between_rows(spark):
     """One option text in two well-formed rows blocks both; shorter texts and the same text within one row don't."""
     shared = "The manager should let the insurance carrier make this decision"
