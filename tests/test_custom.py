@@ -57,6 +57,20 @@ def test_stems_at_the_ratio_itself(spark, monkeypatch):
     assert got == want and any(v < 0.9 for v in got.values())
 
 
+def test_ratio_is_asked_where_it_may_be_reached(spark, monkeypatch):
+    """The longest common subsequence bounds the ratio, so few pairs are matched block by block."""
+    r = np.random.default_rng(4)
+    texts = ["", "a", "\U0001f600ab"] + ["".join(r.choice(list("abcdefgh é"), r.integers(1, 90))) for _ in range(40)]
+    texts += [x[:-3] + "zz" + x[:2] for x in texts[10:30]]
+    asked, whole = [], U.SequenceMatcher
+    monkeypatch.setattr(U, "SequenceMatcher", lambda *x: asked.append(x) or whole(*x))
+    pairs = list(product(texts, texts))
+    got = U.sequence_ratio_from(0.82).func(U.pd.Series([x for x, _ in pairs]), U.pd.Series([y for _, y in pairs]))
+    want = [whole(None, x, y).ratio() for x, y in pairs]
+    assert all(g == w if w >= 0.82 else g in (0, w) for g, w in zip(got, want))
+    assert sum(w >= 0.82 for w in want) > 60 and len(asked) < len(pairs) / 5
+
+
 def test_poisson_binomial(spark):
     chances = [0.25, 0.5, 0.75, 0.25]
     dist = np.zeros(5)
